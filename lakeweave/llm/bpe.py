@@ -13,16 +13,18 @@ executor costs only its running tasks. What a Python worker has encoded stays in
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 #: Characters of text that make up a block, and encoded words that a worker remembers.
-BLOCK_CHARS, MEMO_WORDS = 4_000_000, 400_000
+BLOCK_CHARS, MEMO_WORDS = 6_000_000, 1_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -40,14 +42,13 @@ class Replay:
         self.shift = max(self.token).bit_length()
         self.pair: dict[int, int] = {}
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pair_rank(self, a: int, b: int) -> int:
         """The rank of the token that two adjacent symbols make, or -1."""
         key = a << self.shift | b
         rank = self.pair.get(key)
         if rank is None:
-            if len(self.pair) > 2_000_000:
-                self.pair.clear()
             rank = self.pair[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return rank
 
@@ -62,14 +63,19 @@ class Replay:
         after = list(range(1, len(symbol) + 1))
         before = list(range(-1, len(symbol) - 1))
         index: dict[int, list[int]] = {}
+        if len(self.pair) > 2_000_000:
+            self.pair.clear()
         rank_of, shift, pairs = self.pair_rank, self.shift, self.pair
-        for at, (a, b) in enumerate(zip(symbol, symbol[1:])):
-            if a >= 0 and b >= 0:
-                rank = pairs.get(a << shift | b)
-                if rank is None:
-                    rank = rank_of(a, b)
-                if rank >= 0:
-                    index.setdefault(rank, []).append(at)
+        flat = np.array(symbol, np.int64)
+        inside = np.flatnonzero((flat[:-1] >= 0) & (flat[1:] >= 0))
+        kinds, kind = np.unique(flat[inside] << shift | flat[inside + 1], return_inverse=True)
+        low = (1 << shift) - 1
+        ranks = np.array([rank_of(k >> shift, k & low) for k in kinds.tolist()], np.int64)[kind] if len(kinds) else kind
+        inside, ranks = inside[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        found, first = np.unique(ranks[order], return_index=True)
+        for rank, places in zip(found.tolist(), np.split(inside[order], first[1:])):
+            index[rank] = places.tolist()
         heap = list(index)
         heapify(heap)
         while heap:
@@ -84,25 +90,36 @@ class Replay:
                     continue
                 right = after[at]
                 b = symbol[right]
-                if b < 0 or rank_of(a, b) != rank:
+                if b < 0 or pairs.get(a << shift | b) != rank:
                     continue  # a neighbour's merge took one of the two
                 symbol[at] = rank
                 symbol[right] = -2
                 over = after[at] = after[right]
-                before[over] = at
+                before[over], left = at, before[at]
                 lower = False
-                for left, right in ((before[at], at), (at, over)):
-                    if left >= 0 and (x := symbol[left]) >= 0 and (y := symbol[right]) >= 0:
-                        new = pairs.get(x << shift | y)
-                        if new is None:
-                            new = rank_of(x, y)
-                        if new >= 0:
-                            if new in index:
-                                index[new].append(left)
-                            else:
-                                index[new] = [left]
-                                heappush(heap, new)
-                            lower |= new <= rank
+                x, y = symbol[left], symbol[over]  # before the first symbol: the last wall
+                if x >= 0:
+                    new = pairs.get(x << shift | rank)
+                    if new is None:
+                        new = rank_of(x, rank)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(left)
+                        else:
+                            index[new] = [left]
+                            heappush(heap, new)
+                        lower = new <= rank
+                if y >= 0:
+                    new = pairs.get(rank << shift | y)
+                    if new is None:
+                        new = rank_of(rank, y)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(at)
+                        else:
+                            index[new] = [at]
+                            heappush(heap, new)
+                        lower = lower or new <= rank
                 if lower:  # an earlier merge became possible; it goes first
                     if rest := places[done + 1 :]:
                         if rank in index:
@@ -115,12 +132,21 @@ class Replay:
 
     def block(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as its words, as little-endian unsigned 32-bit integers."""
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        memo = self.memo
-        new = list({word for words in texts for word in words if word not in memo})
+        if len(self.memo) > self.memo_words // 2:  # words not met for a while are forgotten, frequent ones stay
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = []
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small lists of numbers, none of them in a cycle
+        for word in {word for words in texts for word in words if word not in memo}:
+            if word in older:
+                memo[word] = older[word]
+            else:
+                new.append(word)
         for word, ids in zip(new, self.words([w.encode("utf-8", "surrogatepass") for w in new])):
             memo[word] = b"".join(i.to_bytes(4, "little") for i in ids)
+        if collecting:
+            gc.enable()
         return [b"".join([memo[word] for word in words]) for words in texts]
 
     def decode(self, ids: bytes) -> bytes:
