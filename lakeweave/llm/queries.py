@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeweave.llm import bpe
+from lakeweave.llm import bpe, html, langid, minhash, quality, toxicity
 from lakeweave.llm.common import table
 
-RANKS = "byte_bpe_50k.tiktoken"
+PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +17,49 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, vocab.path(RANKS), vocab.PATTERN, keep_ids=False).drop("text")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), vocab.path(PIECES), vocab.path(RANKS))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~langid.held_out())
+    scored = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: The chain of op9: texts of low quality, then toxic texts.
+CATEGORIES = ("low_quality", "toxic")
+
+
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    labels = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.train(docs, labels, CATEGORIES)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity_chain(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.predict(docs.select("doc_id", "text"), chain)
+    return out.select("doc_id", *(F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in CATEGORIES), (F.col("toxicity.toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_minhash": op4_minhash,
+    "op5_quality": op5_quality,
+    "op6_langid": op6_langid,
+    "op8_html": op8_html,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {}
