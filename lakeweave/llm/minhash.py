@@ -74,8 +74,9 @@ def signature(own: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def _features(docs: DataFrame, size: int) -> DataFrame:
-    schema = "doc_id long, n int, d1 long, d2 long, sig array<long>, own array<long>"
+def _features(docs: DataFrame, size: int, full: bool) -> DataFrame:
+    """doc_id, n, d1, d2 (128-bit digest of the set), sig (coordinate << 32 | value), and own (the set itself) if full."""
+    schema = "doc_id long, n int, d1 long, d2 long, sig array<long>" + ", own array<long>" * full
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
         ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -93,11 +94,11 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
                 two = [np.array(x, np.uint64).astype(np.int64) for x in ([d >> 64 for d in digest], [d & 2**64 - 1 for d in digest])]
                 sig = [signature(o) + place if len(o) else np.zeros(0, np.uint64) for o in own]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([len(o) for o in own], pa.int32()), *map(pa.array, two), lists(sig), lists([o.view(np.int64) for o in own])],
-                    names=["doc_id", "n", "d1", "d2", "sig", "own"],
+                    [rows.column("doc_id"), pa.array([len(o) for o in own], pa.int32()), *map(pa.array, two), lists(sig), *([lists([o.view(np.int64) for o in own])] * full)],
+                    names=["doc_id", "n", "d1", "d2", "sig", *["own"] * full],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _linked(shared: Column, n: Column, m: Column, percent: int) -> Column:
@@ -223,7 +224,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     stages = Stages(spark, "minhash")
     matches = least_matches(percent)
-    all_ = stages.put(_features(docs, size))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    all_ = stages.put(_features(docs, size, full=False))
     some = all_.filter("n > 0 and doc_id is not null")
     classes = stages.put(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
     reps = some.select("d1", "d2", F.col("doc_id").alias("rep"), "n", "sig").join(classes, ["d1", "d2", "rep"], "left_semi")
@@ -236,7 +238,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     lists = stages.put(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"), "key"))
     stages.drop(rows)
     wanted = classes.join(lists.select("rep").distinct(), "rep")
-    feats = stages.put(some.select("d1", "d2", F.col("doc_id").alias("rep"), "sig", "own").join(wanted, ["d1", "d2", "rep"], "left_semi").select("rep", "sig", "own"))
+    # the sets of those that are in a list, from their texts: less to move and store than the sets of all
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    feats = _features(texts, size, full=True).withColumnRenamed("doc_id", "rep")
+    feats = stages.put(feats.join(wanted, ["d1", "d2", "rep"], "left_semi").select("rep", "sig", "own"))
     parts = links_between(stages, feats, lists, percent, matches)
     stages.drop(feats, lists)
     named = classes.join(parts, classes["rep"] == parts["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
