@@ -139,8 +139,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(column):
         import pandas as pd
 
-        if _WORKER.get("id") != shipped.id:
-            _WORKER.update(id=shipped.id, scorer=Scorer(shipped.value))
+        if _WORKER.get("model") is not shipped.value:
+            _WORKER.update(model=shipped.value, scorer=Scorer(shipped.value))
         return pd.DataFrame([_WORKER["scorer"].score(t) for t in column], columns=["lang_pred", "score"])
 
     scored = docs.withColumn("__language", run(F.col(text).cast("string")))

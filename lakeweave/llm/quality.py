@@ -25,8 +25,9 @@ from lakeweave.llm.common import WORD, Stages
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: How far beyond a quartile a band reaches, in interquartile ranges, and the least such range of each measure.
-REACH = 4.0
-FLOOR = {"chars_per_piece": 0.25, "chars_per_byte_token": 0.25, "byte_share": 0.02, "entropy_ratio": 0.05}
+#: A text of n words gets sqrt(1 + SHORT / n) times that reach, as short texts vary more.
+REACH, SHORT = 3.0, 200
+FLOOR = {"chars_per_piece": 0.04, "chars_per_byte_token": 0.04, "byte_share": 0.02, "entropy_ratio": 0.02}
 MEMO_WORDS = 300_000
 
 _WORDS = re.compile(WORD)
@@ -168,12 +169,13 @@ def assess(docs: DataFrame, pieces_file: str, ranks_file: str) -> DataFrame:
         counted = passed.groupBy("grp", F.round(name, 3).alias("x")).agg(F.count(F.lit(1)).alias("n"))
         q = counted.groupBy("grp").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"))
         spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(FLOOR[name]))
-        q = q.select("grp", (F.col("q")[0] - REACH * spread).alias(f"{name}_low"), (F.col("q")[1] + REACH * spread).alias(f"{name}_high"))
+        q = q.select("grp", F.col("q")[0].alias(f"{name}_low"), F.col("q")[1].alias(f"{name}_high"), (REACH * spread).alias(f"{name}_reach"))
         quartiles = q if quartiles is None else quartiles.join(q, "grp")
     bands = stages.put(quartiles)
     inside = F.lit(True)
     for name in FLOOR:
-        inside &= F.col(name).between(F.col(f"{name}_low"), F.col(f"{name}_high"))
+        reach = F.col(f"{name}_reach") * F.sqrt(1 + SHORT / F.col("n_words"))
+        inside &= F.col(name).between(F.col(f"{name}_low") - reach, F.col(f"{name}_high") + reach)
     out = measured.join(bands, "grp", "left")
     # a group without bands has no text that passes the plain rules
     return out.select(

@@ -7,12 +7,14 @@ probabilities of the quality it will meet on new texts, not those of a model tha
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from lakeweave.llm.common import Stages
 
 #: Labelled rows in the sample (about as many), words that are features, folds, strength of the ridge penalty.
 SAMPLE_ROWS, FEATURES, FOLDS, RIDGE = 8000, 256, 5, 1.0
-LEAST_TEXTS = 5
+LEAST_TEXTS = 8
 THRESHOLD = 0.5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -103,13 +105,19 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key: st
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
-            rest = [batch.column(c) for c in ("fold", *categories)]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(own, pa.list_(pa.string()))], names=["fold", *categories, "words"])
+            # texts that share their two least word hashes are mostly copies
+            copy = ["-".join(f"{h:x}" for h in heapq.nsmallest(2, (xxhash.xxh3_64_intdigest(w) for w in words))) for words in own]
+            rest = [batch.column(c) for c in ("key", "fold", *categories)]
+            yield pa.RecordBatch.from_arrays([pa.array(copy, pa.string()), *rest, pa.array(own, pa.list_(pa.string()))], names=["copy", "key", "fold", *categories, "words"])
 
-    schema = "fold long, " + ", ".join(f"`{c}` double" for c in categories) + ", words array<string>"
+    kind = labels.schema[key].dataType.simpleString()
+    schema = f"copy string, key {kind}, fold long, " + ", ".join(f"`{c}` double" for c in categories) + ", words array<string>"
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "key")
     stages = Stages(spark, "toxicity")
-    rows = stages.put(texts.select("text", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(FOLDS)).alias("fold"), *categories).mapInArrow(split, schema))
+    split_ = texts.select("text", "key", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(FOLDS)).alias("fold"), *categories).mapInArrow(split, schema)
+    # one text of each group of likely copies, else a copied text's own words would pass for signs of its label
+    one = split_.groupBy("copy").agg(F.min_by(F.struct("fold", *categories, "words"), "key").alias("r"))
+    rows = stages.put(one.select("r.fold", *(f"r.{c}" for c in categories), "r.words"))
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
     counted = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in categories)).filter(F.col("n") >= LEAST_TEXTS)
     chosen: list[str] = []
