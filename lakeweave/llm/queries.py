@@ -6,12 +6,17 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import bpe, html, langid, minhash, quality, toxicity
+from lakeweave.llm import bpe, html, langid, minhash, quality, substring, toxicity
 from lakeweave.llm.common import table
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_sentences", "n_removed", "text")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, vocab.path(RANKS), vocab.PATTERN, keep_ids=False).drop("text")
@@ -54,6 +59,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
