@@ -6,12 +6,28 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import bpe, html, langid, minhash, quality, substring, toxicity
+from lakeweave.llm import bpe, html, langid, minhash, mixing, quality, substring, toxicity, urls
 from lakeweave.llm.common import table
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
+#: Target shares of expected tokens. Documents labelled as of low quality are a domain of their own, else the language.
+MIX = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.12, "low": 0.02}
+
+
+def mixing_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, domain) of the labelled documents; repeated labels of a document count once, the worst of them."""
+    worst = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    named = docs.select("doc_id", "lang").join(worst, "doc_id")
+    return named.select(F.col("doc_id").alias("key"), F.when(F.col("quality") == 0, F.lit("low")).otherwise(F.col("lang")).alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing_labels(docs, table(spark, sf_dir, "labels")), MIX)[0]
+
+
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_sentences", "n_removed", "text")
@@ -58,7 +74,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.round(f"toxicity.{c}", 6).alias(f"p_{c}") for c in CATEGORIES), (F.col("toxicity.toxic") >= toxicity.THRESHOLD).alias("toxic"))
 
 
+#: Rules of op10, the longest that fits decides.
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", "block_rate")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_substring": op2_substring,
     "op3_bpe": op3_bpe,
     "op4_minhash": op4_minhash,
@@ -66,6 +92,7 @@ QUERIES = {
     "op6_langid": op6_langid,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
+    "op10_urls": op10_urls,
 }
 
 SQL: dict[str, str] = {}
