@@ -6,7 +6,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeweave.llm import bpe, html, langid, minhash, mixing, quality, substring, toxicity, urls
+from lakeweave.llm import bpe, html, langid, media, minhash, mixing, quality, substring, toxicity, urls
 from lakeweave.llm.common import table
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
@@ -53,6 +53,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no audio in the tables; each embedding is rendered as a recording of 64 notes."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    prints = media.fingerprints(vectors, media.rendered(F.col("embedding"))).select("vec_id", "fingerprint")
+    out = media.search(prints, F.col("vec_id") % 20 == 0)
+    return out.withColumn("bit_error_rate", F.round("bit_error_rate", 6))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return html.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
@@ -90,6 +98,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_langid": op6_langid,
+    "op7_media": op7_media,
     "op8_html": op8_html,
     "op9_toxicity": op9_toxicity,
     "op10_urls": op10_urls,
