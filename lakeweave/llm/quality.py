@@ -9,6 +9,7 @@ take out texts that are unlike their language, not the tail of ordinary ones.
 
 from __future__ import annotations
 
+import array
 import math
 import re
 from collections import Counter
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.bpe import _replay
+from lakeweave.llm.bpe import read_ranks
 from lakeweave.llm.common import WORD, Stages
 
 SYMBOLS = "#*$%&|<>"
@@ -28,7 +29,7 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: A text of n words gets sqrt(1 + SHORT / n) times that reach, as short texts vary more.
 REACH, SHORT = 3.0, 200
 FLOOR = {"chars_per_piece": 0.04, "chars_per_byte_token": 0.04, "byte_share": 0.02, "entropy_ratio": 0.02}
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 
 _WORDS = re.compile(WORD)
 _WORKER: dict = {}
@@ -39,33 +40,43 @@ class Fertility:
 
     def __init__(self, pieces: bytes, ranks: bytes):
         import sentencepiece
+        import tiktoken
 
         self.piece = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         self.is_byte = np.array([self.piece.is_byte(i) for i in range(self.piece.vocab_size())])
-        self.ranks = _replay(ranks)
-        self.memo: dict[str, tuple[int, int, bytes]] = {}
+        # words come one by one: a pattern that takes each as a whole
+        self.encode = tiktoken.Encoding("quality", pat_str=r"(?s).+", mergeable_ranks=read_ranks(ranks), special_tokens={}).encode_ordinary
+        self.memo: dict[str, tuple[int, bytes]] = {}
+        self.older: dict[str, tuple[int, bytes]] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Per word: tokens of the byte-level vocabulary, byte-fallback tokens, ids of the pieces."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in words if w not in self.memo]
-        encoded = self.ranks.words([b" " + w.encode("utf-8", "surrogatepass") for w in new])
-        for word, ids, ranks in zip(new, self.piece.encode(new, num_threads=1), encoded):
-            a = np.asarray(ids, np.uint16)
-            self.memo[word] = len(ranks), int(self.is_byte[a].sum()), a.tobytes()
+        """Per word: tokens of the byte-level vocabulary, ids of the pieces."""
+        if len(self.memo) > MEMO_WORDS // 2:  # words not met for a while are forgotten, frequent ones stay
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = []
+        for word in words:
+            if word not in memo:
+                if word in older:
+                    memo[word] = older[word]
+                else:
+                    new.append(word)
+        encode, pack = self.encode, array.array
+        for word, ids in zip(new, self.piece.encode(new, num_threads=1)):
+            memo[word] = len(encode(" " + word)), pack("H", ids).tobytes()
 
     def measure(self, words: list[str], chars: int) -> tuple[float, float, float, float]:
         if not words:
             return 0.0, 0.0, 0.0, 0.0
         found = [self.memo[w] for w in words]
-        ids = np.frombuffer(b"".join([x[2] for x in found]), np.uint16)
+        ids = np.frombuffer(b"".join([x[1] for x in found]), np.uint16)
         n = len(ids) or 1
-        share = np.unique(ids, return_counts=True)[1] / n
+        counts = np.bincount(ids) if n > 4000 else np.unique(ids, return_counts=True)[1]
+        share = counts[counts > 0] / n
         # the most that n draws could show, so that short texts compare with long ones
         most = math.log2(min(n, 512)) or 1.0
         entropy = float(-(share * np.log2(share)).sum()) / most
-        return chars / n, chars / max(1, sum([x[0] for x in found])), sum([x[1] for x in found]) / n, entropy
+        return chars / n, chars / max(1, sum([x[0] for x in found])), int(self.is_byte[ids].sum()) / n, entropy
 
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
