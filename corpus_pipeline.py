@@ -1,8 +1,69 @@
-"""From raw documents to token ids."""
+"""From raw documents to token ids: five stages, each on all that the one before it kept.
 
-STAGES: list = []
+run() writes what a stage returns to the shared folder and reads it again for the next one.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers as vocab
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeweave.llm import bpe, minhash, mixing, substring, toxicity
+from lakeweave.llm.common import Stages, table
+from lakeweave.llm.queries import RANKS, mixing_labels, toxicity_chain
+
+#: Target shares of expected tokens by language; no document is taken less than once.
+MIX = {"en": 0.52, "de": 0.17, "fr": 0.17, "es": 0.14}
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain finds toxic go."""
+    return toxicity.reject(docs, toxicity_chain(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays.
+    Documents without an id stay."""
+    kept = minhash.near_duplicates(docs, size=5, percent=80).filter("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated sentence spans are cut out of all texts but the first; n_chars follows, texts with nothing left go."""
+    out = substring.deduplicate(docs)
+    out = out.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated at the fitted rates, so that expected tokens by language come to MIX."""
+    rows, _, _ = mixing.mix(docs, mixing_labels(docs, table(spark, sf_dir, "labels"), low=False), MIX, least=1.0)
+    return mixing.take(rows)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, their count and digests; the text itself has served."""
+    return bpe.encode(docs, vocab.path(RANKS), vocab.PATTERN).drop("text")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_spans", drop_repeated_spans),
+    ("mixing", mix_languages),
+    ("encoding", encode),
+]
+
+#: A trained classifier, an iterative fit and byte-pair merges are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages, docs = Stages(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        out = stages.put(stage(spark, docs, sf_dir))
+        stages.drop(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

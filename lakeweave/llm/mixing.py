@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +32,28 @@ CLASSES = (
 )
 #: Labelled rows to train on (about as many), and the characters that a text counts as in the likelihood.
 SAMPLE_ROWS, EVIDENCE = 20_000, 60.0
-ITERATIONS, TOLERANCE = 40, 1e-4
+ITERATIONS, TOLERANCE = 25, 1e-4
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_chars, c0, c1, ...) from whole texts; a null text has no tokens and no characters."""
+#: Our own columns beside a table's.
+OWN = "__mix_"
+
+
+def _own(name: str) -> Column:
+    return F.col(OWN + name)
+
+
+def featured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds n_tokens, n_chars and the classes' counts c0, c1, ... (each named OWN + name) from whole texts; a null text
+    has no tokens and no characters."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    counts = {f"c{k}": F.regexp_count(t, F.lit(c)).cast("long") for k, c in enumerate(CLASSES)}
-    return docs.select(F.col(key).alias("key"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("n_tokens"), F.length(t).cast("long").alias("n_chars"), *(c.alias(name) for name, c in counts.items()))
+    counts = {f"{OWN}c{k}": F.regexp_count(t, F.lit(c)).cast("long") for k, c in enumerate(CLASSES)}
+    return _apart(docs, {OWN + "n_tokens": F.regexp_count(t, F.lit(WORD)).cast("long"), OWN + "n_chars": F.length(t).cast("long")} | counts)
+
+
+def _apart(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Adds columns that later expressions read and do not compute anew at each mention."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def train(feats: DataFrame, labelled: DataFrame) -> dict[str, tuple[float, list[float]]]:
@@ -50,8 +65,8 @@ def train(feats: DataFrame, labelled: DataFrame) -> dict[str, tuple[float, list[
     labelled = labelled.filter("key is not null and domain is not null").dropDuplicates(["key", "domain"])
     n = labelled.count()
     sample = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < min(1.0, SAMPLE_ROWS / max(1, n)) * 1_000_003)
-    rows = feats.filter("n_chars > 0").join(F.broadcast(sample), "key")
-    shares = [F.avg(F.col(f"c{k}") / F.col("n_chars")).alias(f"s{k}") for k in range(len(CLASSES))]
+    rows = feats.filter(_own("n_chars") > 0).join(F.broadcast(sample), "key")
+    shares = [F.avg(_own(f"c{k}") / _own("n_chars")).alias(f"s{k}") for k in range(len(CLASSES))]
     found = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), *shares).collect()
     total = sum(r["n"] for r in found)
     model = {}
@@ -63,73 +78,90 @@ def train(feats: DataFrame, labelled: DataFrame) -> dict[str, tuple[float, list[
     return model
 
 
-def posterior(model: Mapping[str, tuple[float, list[float]]]) -> dict[str, Column]:
-    """Posterior of each domain from the columns of features(); the prior where a text has no characters."""
-    rest = F.col("n_chars") - sum((F.col(f"c{k}") for k in range(len(CLASSES))), F.lit(0))
-    counts = [*(F.col(f"c{k}") for k in range(len(CLASSES))), rest]
-    scale = F.when(F.col("n_chars") > 0, F.lit(EVIDENCE) / F.col("n_chars")).otherwise(F.lit(0.0))
-    logs = {d: F.lit(prior) + scale * sum((c * w for c, w in zip(counts, weights)), F.lit(0.0)) for d, (prior, weights) in model.items()}
-    top = F.greatest(*logs.values()) if len(logs) > 1 else next(iter(logs.values()))
-    shifted = {d: F.exp(x - top) for d, x in logs.items()}
-    total = sum(shifted.values(), F.lit(0.0))
-    return {d: x / total for d, x in shifted.items()}
+def with_posteriors(df: DataFrame, model: Mapping[str, tuple[float, list[float]]]) -> DataFrame:
+    """Adds the domains' posteriors p0, p1, ... to the columns of featured(); the prior where a text has no characters."""
+    names = [str(i) for i in range(len(model))]
+    rest = _own("n_chars") - sum((_own(f"c{k}") for k in range(len(CLASSES))), F.lit(0))
+    counts = [*(_own(f"c{k}") for k in range(len(CLASSES))), rest]
+    scale = F.when(_own("n_chars") > 0, F.lit(EVIDENCE) / _own("n_chars")).otherwise(F.lit(0.0))
+    logs = [F.lit(prior) + scale * sum((c * w for c, w in zip(counts, weights)), F.lit(0.0)) for prior, weights in model.values()]
+    df = _apart(df, {f"{OWN}log{i}": x for i, x in zip(names, logs)})
+    top = F.greatest(*(_own(f"log{i}") for i in names)) if len(names) > 1 else _own("log0")
+    df = _apart(df, {f"{OWN}top": top})
+    df = _apart(df, {f"{OWN}exp{i}": F.exp(_own(f"log{i}") - _own("top")) for i in names})
+    return _apart(df, {f"{OWN}p{i}": _own(f"exp{i}") / sum((_own(f"exp{j}") for j in names), F.lit(0.0)) for i in names})
 
 
 def fit_rates(rows: DataFrame, domains: list[str], targets: list[float], least: float = 0.0, iterations: int = ITERATIONS) -> tuple[Column, list[float]]:
-    """rows: n_tokens, p0, p1, ... . Returns the column of rates and the expected totals that it gives.
+    """rows: n_tokens, p0, p1, ... (each named OWN + name). Returns the column of rates and the expected totals that it gives.
 
-    Gradient steps are taken in the metric in which a document weighs its tokens, so that long and short texts of one
-    posterior get one rate; the step is one over the largest eigenvalue of the domains' Gram matrix, bounded by its
-    largest row sum, and residuals are carried on with Nesterov's momentum. Every start is 1.
+    Residuals are measured in the norm of the domains' inverse Gram matrix and documents weigh their tokens, so that
+    long and short texts of one posterior get one rate. In these norms the gradient's Lipschitz constant is 1, and so is
+    the step: without the bound one step reaches the targets, and each further one corrects what the bound cut off.
+    Every start is 1. The steps end when the targets are met to TOLERANCE, or the totals stand still.
     """
     k = len(domains)
-    p = [F.col(f"p{i}") for i in range(k)]
-    gram = rows.agg(*(F.sum(F.col("n_tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    g = [[float(gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)]
-    weight = [1 / max(g[i][i], 1e-12) for i in range(k)]
-    # the largest eigenvalue of W^(1/2) G W^(1/2)
-    bound = max((sum(abs(g[i][j]) * math.sqrt(weight[i] * weight[j]) for j in range(k)) for i in range(k)), default=0.0) or 1.0
-    rate: Column = F.lit(1.0)
-    before, momentum = rate, 1.0
+    p, n_tokens = [_own(f"p{i}") for i in range(k)], _own("n_tokens")
+    gram = rows.agg(*(F.sum(n_tokens * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
+    g = np.array([[float(gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0) for j in range(k)] for i in range(k)])
+    whiten = np.linalg.inv(g + np.eye(k) * max(1e-9, 1e-9 * np.trace(g)))
+    slopes: list[Column] = []
+
+    def rates() -> Column:
+        """All steps so far, as one fold over their slopes: as many steps make no longer an expression."""
+        if not slopes:
+            return F.lit(1.0)
+        step = lambda r, s: F.greatest(F.lit(float(least)), r - sum((p[i] * s[i] for i in range(1, k)), p[0] * s[0]))
+        return F.aggregate(F.array(*slopes), F.lit(1.0), step)
+
     totals = [0.0] * k
     for step in range(iterations + 1):
-        now = rows.agg(*(F.sum(F.col("n_tokens") * p[i] * rate).alias(f"t{i}") for i in range(k)), *(F.sum(F.col("n_tokens") * p[i] * before).alias(f"b{i}") for i in range(k))).first()
-        totals = [float(now[f"t{i}"] or 0.0) for i in range(k)]
-        last = [float(now[f"b{i}"] or 0.0) for i in range(k)]
-        if step == iterations or all(abs(t - goal) <= TOLERANCE * max(goal, 1.0) for t, goal in zip(totals, targets)):
+        taken = rows.select(*p, (n_tokens * rates()).alias("taken"))
+        now = taken.agg(*(F.sum(p[i] * F.col("taken")).alias(f"t{i}") for i in range(k))).first()
+        before, totals = totals, [float(now[f"t{i}"] or 0.0) for i in range(k)]
+        off = lambda goals: all(abs(t - goal) <= TOLERANCE * max(goal, 1.0) for t, goal in zip(totals, goals))  # noqa: E731, B023
+        if step == iterations or off(targets) or off(before):
             break
-        following = (1 + math.sqrt(1 + 4 * momentum * momentum)) / 2
-        ahead = (momentum - 1) / following
-        momentum = following
-        # totals are linear in the rates, so the extrapolated point's residual needs no pass of its own
-        slope = [weight[i] * (totals[i] + ahead * (totals[i] - last[i]) - targets[i]) / bound for i in range(k)]
-        point = rate + ahead * (rate - before) if ahead else rate
-        following_rate = F.greatest(F.lit(float(least)), point - sum((p[i] * slope[i] for i in range(k)), F.lit(0.0)))
-        before, rate = rate, following_rate
-    return rate, totals
+        slopes.append(F.array(*(F.lit(x) for x in (whiten @ (np.array(totals) - np.array(targets))).tolist())))
+    return rates(), totals
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], tokens: float | None = None, least: float = 0.0, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str], list[float]]:
     """Rates of documents that bring the domains to the target weights.
 
     labelled: key, domain. weights: of each domain, not negative; they are scaled to sum 1; a labelled domain that has
-    none counts as 0. tokens: the total to aim at; by default as many tokens as there are.
+    none counts as 0. tokens: the total to aim at. By default that is as many tokens as there are, or if least > 0, as
+    many as let every domain with a weight keep that share of its tokens.
 
-    Returns (rows, domains, totals): rows has doc_id, n_tokens, rate and p_<domain>; totals are the expected tokens of
-    each domain. A null text has no tokens and gets the rate of an average text; rows of equal id and text get equal
-    rates; an empty table, or one without labels, gives rate 1 throughout.
+    Returns (rows, domains, totals): rows are the given ones with all their columns and OWN + n_tokens, rate, p0, p1,
+    ... (of each domain, in order); totals are the expected tokens of each domain. A null text has no tokens and gets
+    the rate of the prior; rows of equal text get equal rates; an empty table, or one without labels, gives rate 1
+    throughout and no domains.
     """
     stages = Stages(docs.sparkSession, "mixing")
-    feats = stages.put(features(docs, key, text))
+    feats = stages.put(featured(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).drop("text"))
     model = train(feats, labelled)
+    rows = featured(docs, text)
     if not model:
-        return feats.select(F.col("key").alias("doc_id"), "n_tokens", F.lit(1.0).alias("rate")), [], []
+        return rows.withColumn(OWN + "rate", F.lit(1.0)), [], []
     domains = list(model)
-    post = posterior(model)
-    rows = stages.put(feats.select("key", "n_tokens", *(post[d].alias(f"p{i}") for i, d in enumerate(domains))))
+    post = [f"{OWN}p{i}" for i in range(len(domains))]
+    small = stages.put(with_posteriors(feats, model).select(OWN + "n_tokens", *post))
     stages.drop(feats)
-    total = tokens if tokens is not None else float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
-    all_weights = sum(weights.get(d, 0.0) for d in domains) or 1.0
-    rate, totals = fit_rates(rows, domains, [total * weights.get(d, 0.0) / all_weights for d in domains], least)
-    out = rows.select(F.col("key").alias("doc_id"), "n_tokens", F.round(rate, 6).alias("rate"), *(F.round(f"p{i}", 6).alias(f"p_{d}") for i, d in enumerate(domains)))
-    return out, domains, totals
+    share = [weights.get(d, 0.0) / (sum(weights.get(x, 0.0) for x in domains) or 1.0) for d in domains]
+    if tokens is None:
+        has = [float(x or 0.0) for x in small.agg(*(F.sum(_own("n_tokens") * F.col(c)) for c in post)).first()]
+        tokens = max([least * h / w for h, w in zip(has, share) if w > 0], default=0.0) if least > 0 else sum(has)
+    rate, totals = fit_rates(small, domains, [tokens * w for w in share], least)
+    return _apart(with_posteriors(rows, model), {OWN + "rate": rate}), domains, totals
+
+
+def take(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of mix() as often as their rates say: the whole part, and once more for as many as the fraction says,
+    chosen by a hash of key and text. Only the given columns are left."""
+    rate = _own("rate")
+    chance = F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("mix")), F.lit(1_000_003)) / 1_000_003.0
+    copies = (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    out = rows.withColumn(OWN + "copies", copies).filter(_own("copies") > 0)
+    out = out.withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1), _own("copies"))))
+    return out.drop(*(c for c in out.columns if c.startswith(OWN)))

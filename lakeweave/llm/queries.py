@@ -16,16 +16,21 @@ PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 MIX = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.12, "low": 0.02}
 
 
-def mixing_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, domain) of the labelled documents; repeated labels of a document count once, the worst of them."""
+def mixing_labels(docs: DataFrame, labels: DataFrame, low: bool = True) -> DataFrame:
+    """(key, domain) of the labelled documents; repeated labels of a document count once, the worst of them. low: those
+    of low quality are a domain of their own."""
     worst = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     named = docs.select("doc_id", "lang").join(worst, "doc_id")
-    return named.select(F.col("doc_id").alias("key"), F.when(F.col("quality") == 0, F.lit("low")).otherwise(F.col("lang")).alias("domain"))
+    domain = F.when(F.col("quality") == 0, F.lit("low")).otherwise(F.col("lang")) if low else F.col("lang")
+    return named.select(F.col("doc_id").alias("key"), domain.alias("domain"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, mixing_labels(docs, table(spark, sf_dir, "labels")), MIX)[0]
+    rows, domains, _ = mixing.mix(docs.select("doc_id", "text"), mixing_labels(docs, table(spark, sf_dir, "labels")), MIX)
+    own = mixing.OWN
+    posteriors = (F.round(f"{own}p{i}", 6).alias(f"p_{d}") for i, d in enumerate(domains))
+    return rows.select("doc_id", F.col(f"{own}n_tokens").alias("n_tokens"), F.round(f"{own}rate", 6).alias("rate"), *posteriors)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
