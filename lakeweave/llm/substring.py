@@ -20,6 +20,8 @@ from lakeweave.llm.common import WORD, Stages
 
 SENTENCES, RUN_WORDS, LONG_WORDS = 2, 12, 24
 CLAUSE_WORDS = 14
+#: Stands for a null id, which comes after all others.
+LAST = 2**63 - 1
 
 #: A sentence ends after . ! ? or … (and closing marks) before white space, at a line break, or with the text; white
 #: space behind it belongs to it.
@@ -77,7 +79,8 @@ def runs(parts: list[str]) -> list[tuple[int, int, int]]:
 
 
 def _text_key(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+    """With the id it tells rows of one id apart."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 33
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,7 +97,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     own = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "k", "x", "s", "c"]
+        names = ["h", "k", "x", "p"]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500)
@@ -102,28 +105,25 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                     if t:
                         x = _text_key(t)
-                        out += [(h, k, x, s, c) for h, s, c in runs(sentences(t))]
-                columns = list(zip(*out)) if out else [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                        out += [(h, LAST if k is None else k, x, s << 32 | c) for h, s, c in runs(sentences(t))]
+                columns = list(zip(*out)) if out else [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
 
-    spans = own.mapInArrow(find, "h long, k long, x long, s int, c int")
-    spans = stages.put(spans)
-    first = F.min(F.struct(F.isnull("k").alias("z"), "k", "x", "s")).alias("first")
-    last = F.max(F.struct(F.isnull("k").alias("z"), "k", "x", "s")).alias("last")
-    repeated = spans.groupBy("h").agg(first, last).filter("first <> last").select("h", "first")
-    again = spans.join(repeated, "h").filter(F.struct(F.isnull("k").alias("z"), "k", "x", "s") != F.col("first"))
+    spans = stages.put(own.mapInArrow(find, "h long, k long, x int, p long"))
+    repeated = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "x", "p")).alias("first")).filter("n > 1").select("h", "first")
+    again = spans.join(repeated, "h").filter(F.struct("k", "x", "p") != F.col("first"))
     # as many rows for a document as it has sentences at most
-    covered = again.groupBy("k", "x").agg(F.collect_set(F.struct("s", "c")).alias("spans"))
+    covered = again.groupBy("k", "x").agg(F.collect_set("p").alias("spans"))
     covered = stages.put(covered)
     stages.drop(spans)
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("int")
     def text_key(texts):
-        return texts.map(lambda t: _text_key(t) if t else None).astype("Int64")
+        return texts.map(lambda t: _text_key(t) if t else None).astype("Int32")
 
     marked = docs.withColumn("__x", text_key(F.col(text).cast("string")))
-    joined = marked.join(covered.select(F.col("k").alias("__k"), F.col("x").alias("__y"), F.col("spans").alias("__spans")), F.col("__x").eqNullSafe(F.col("__y")) & F.col(key).cast("long").eqNullSafe(F.col("__k")), "left")
+    joined = marked.join(covered.select(F.col("k").alias("__k"), F.col("x").alias("__y"), F.col("spans").alias("__spans")), (F.col("__x") == F.col("__y")) & (F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("__k")), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def cut(texts, spans_):
@@ -134,8 +134,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             parts = sentences(t) if t else []
             gone = set()
             if found is not None:
-                for span in found:
-                    gone.update(range(span["s"], span["s"] + span["c"]))
+                for span in map(int, found):
+                    gone.update(range(span >> 32, (span >> 32) + (span & 0xFFFFFFFF)))
             out.append(("".join(p for k, p in enumerate(parts) if k not in gone) if t is not None else None, len(parts), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
 
