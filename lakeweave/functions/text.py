@@ -117,6 +117,10 @@ def region_map(country: str) -> dict[str, str]:
     return out
 
 
+def _region(values: Column, key):
+    return lambda p: F.coalesce(F.try_element_at(values, p), F.try_element_at(values, key(p)), p)
+
+
 def address(raw: Column, country: Column) -> Column:
     """Components that name a region become its code, placeholders go, leading zeros go, words are spelt out."""
     parts = F.transform(F.split(F.replace(F.coalesce(raw, F.lit("")), F.lit("Â"), F.lit(" ")), ","), lambda p: F.lower(F.trim(p)))
@@ -124,8 +128,7 @@ def address(raw: Column, country: Column) -> Column:
     key = lambda p: squeeze(F.regexp_replace(F.lower(fold_latin(p)), "[^a-z0-9]", " "))
     named = None
     for name in REGIONS:
-        values = mapping(region_map(name))
-        one = F.transform(parts, lambda p, v=values: F.coalesce(F.try_element_at(v, p), F.try_element_at(v, key(p)), p))
+        one = F.transform(parts, _region(mapping(region_map(name)), key))
         named = F.when(country == name, one) if named is None else named.when(country == name, one)
     words = F.split(F.regexp_replace(basic(F.array_join(named.otherwise(parts), " , ")), r"\b0+(\d)", "$1"), " ")
     spell = lambda abbreviations: F.transform(words, lambda w: mapped(mapped(w, mapping(abbreviations)), mapping(CITIES)))

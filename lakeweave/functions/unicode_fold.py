@@ -30,6 +30,9 @@ def fold_text(text: str | None) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def fold_unicode(column: pd.Series) -> pd.Series:
-    return column.map(lambda x: x if x is not None and x.isascii() else fold_text(x))
+def fold_unicode(column):
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: x if x is not None and x.isascii() else fold_text(x))
+
+    return run(column)

@@ -1,4 +1,8 @@
 """Every query of the engine by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from lakeweave.plans import linkage
+
+QUERIES: dict = {**linkage.QUERIES}
+SQL: dict = {**linkage.SQL}
