@@ -126,28 +126,29 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: list[float], least:
     return rates(), totals
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], tokens: float | None = None, least: float = 0.0, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str], list[float]]:
+def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], tokens: float | None = None, least: float = 0.0, key: str = "doc_id", text: str = "text", with_text: bool = True) -> tuple[DataFrame, list[str], list[float]]:
     """Rates of documents that bring the domains to the target weights.
 
     labelled: key, domain. weights: of each domain, not negative; they are scaled to sum 1; a labelled domain that has
     none counts as 0. tokens: the total to aim at. By default that is as many tokens as there are, or if least > 0, as
     many as let every domain with a weight keep that share of its tokens.
 
-    Returns (rows, domains, totals): rows are the given ones with all their columns and OWN + n_tokens, rate, p0, p1,
+    Returns (rows, domains, totals): rows are the given ones with all their columns (without the text unless with_text,
+    and then texts are read only once) and OWN + n_tokens, rate, p0, p1,
     ... (of each domain, in order); totals are the expected tokens of each domain. A null text has no tokens and gets
     the rate of the prior; rows of equal text get equal rates; an empty table, or one without labels, gives rate 1
     throughout and no domains.
     """
     stages = Stages(docs.sparkSession, "mixing")
-    feats = stages.put(featured(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).drop("text"))
-    model = train(feats, labelled)
-    rows = featured(docs, text)
+    source = docs.select(F.col(key), F.col(text)) if with_text else docs
+    feats = stages.put(featured(source, text).drop(text))
+    model = train(feats.withColumn("key", F.col(key)), labelled)
+    rows = featured(docs, text) if with_text else feats
     if not model:
         return rows.withColumn(OWN + "rate", F.lit(1.0)), [], []
     domains = list(model)
     post = [f"{OWN}p{i}" for i in range(len(domains))]
     small = stages.put(with_posteriors(feats, model).select(OWN + "n_tokens", *post))
-    stages.drop(feats)
     share = [weights.get(d, 0.0) / (sum(weights.get(x, 0.0) for x in domains) or 1.0) for d in domains]
     if tokens is None:
         has = [float(x or 0.0) for x in small.agg(*(F.sum(_own("n_tokens") * F.col(c)) for c in post)).first()]
