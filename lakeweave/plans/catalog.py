@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeweave.plans import linkage
+from lakeweave.plans import linkage, reporting
 
-QUERIES: dict = {**linkage.QUERIES}
-SQL: dict = {**linkage.SQL}
+QUERIES: dict = {**linkage.QUERIES, **reporting.QUERIES}
+SQL: dict = {**linkage.SQL, **reporting.SQL}
