@@ -61,7 +61,7 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """There is no audio in the tables; each embedding is rendered as a recording of 64 notes."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    prints = media.fingerprints(vectors, media.rendered(F.col("embedding"))).select("vec_id", "fingerprint")
+    prints = media.fingerprints(vectors, F.col("embedding"), read=media.render).select("vec_id", "fingerprint")
     out = media.search(prints, F.col("vec_id") % 20 == 0)
     return out.withColumn("bit_error_rate", F.round("bit_error_rate", 6))
 
