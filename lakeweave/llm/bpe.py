@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Characters of text that make up a block, and encoded words that a worker remembers.
-BLOCK_CHARS, MEMO_WORDS = 3_000_000, 500_000
+BLOCK_CHARS, MEMO_WORDS = 2_000_000, 240_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -63,7 +63,7 @@ class Replay:
         after = list(range(1, len(symbol) + 1))
         before = list(range(-1, len(symbol) - 1))
         index: dict[int, list[int]] = {}
-        if len(self.pair) > 400_000:
+        if len(self.pair) > 200_000:
             self.pair.clear()
         rank_of, shift, pairs = self.pair_rank, self.shift, self.pair
         flat = np.array(symbol, np.int64)

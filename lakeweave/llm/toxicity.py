@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from lakeweave.llm.common import Stages
 
 #: Labelled rows in the sample (about as many), words that are features, folds, strength of the ridge penalty.
-SAMPLE_ROWS, FEATURES, FOLDS, RIDGE = 12_000, 256, 5, 0.2
+SAMPLE_ROWS, FEATURES, FOLDS, RIDGE = 20_000, 256, 5, 0.2
 LEAST_TEXTS = 4
-THRESHOLD = 0.4
+THRESHOLD = 0.35
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
