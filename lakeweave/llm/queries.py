@@ -109,7 +109,25 @@ QUERIES = {
     "op10_urls": op10_urls,
 }
 
-SQL: dict[str, str] = {}
+#: The exact join of all shingles and the closure of its links: fine for small tables.
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END s
+  FROM w),
+e AS (SELECT doc_id, len(s) n, unnest(s) x FROM s),
+l AS (
+  SELECT a.doc_id u, b.doc_id v FROM e a JOIN e b USING (x) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.to_id)
+SELECT s.doc_id, len(s.s)::BIGINT n_shingles, c.component_id, s.doc_id = c.component_id kept
+FROM s JOIN (SELECT id, min(to_id) component_id FROM r GROUP BY id) c ON c.id = s.doc_id
+"""
+
+SQL: dict[str, str] = {"op4_minhash": OP4_SQL}
 
 
 def queries() -> dict:
