@@ -390,3 +390,40 @@ def validate_rules(spark, sf_dir):
     rows = best.unionAll(best.filter(F.col("rid").startswith("S2"))).unionAll(best.select("s1", F.col("s1").alias("rid")))
     out = rows.groupBy("s1").agg(F.array_join(F.collect_list("rid"), ",").alias("matched_entity_ids"))
     return decide.validate(out, s.select(F.col("entity_id").alias("s1")), r.select(F.col("entity_id").alias("rid")), p.select("s1", "rid"))
+
+
+@query(_METRIC + f", dl AS (SELECT rid, s1 FROM links WHERE p>=0.5 UNION ALL SELECT rid||'#'||k, s1 FROM links, (SELECT unnest([1,2]) k) WHERE p>=0.5 AND rid NOT IN (SELECT rid FROM truth)), m AS (SELECT r.entity_id s1, coalesce(any_value(nt.nt),0) nt, count(l.rid) np, count(t.rid) tp FROM recs r LEFT JOIN dl l ON l.s1=r.entity_id LEFT JOIN truth t ON t.s1=l.s1 AND t.rid=l.rid LEFT JOIN nt ON nt.s1=r.entity_id WHERE src='S1' GROUP BY 1) SELECT count(*) n, round(avg({_F}),6) f FROM m")
+def macro_f05_testlike(spark, sf_dir):
+    refs, truth = sides(spark, sf_dir)[0].select(F.col("entity_id").alias("s1")), _truth(spark, sf_dir)
+    links = decide.with_repeated_decoys(decide.assign(scored(spark, sf_dir), 0.5), truth, 3)
+    return decide.f_half(truth, links, refs).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f"), 6).alias("f"))
+
+
+@query(_METRIC + f", m AS (SELECT r.entity_id s1, r.country, coalesce(any_value(nt.nt),0) nt, count(l.rid) np, count(t.rid) tp FROM recs r LEFT JOIN (SELECT * FROM links WHERE p>=0.5) l ON l.s1=r.entity_id LEFT JOIN truth t ON t.s1=l.s1 AND t.rid=l.rid LEFT JOIN nt ON nt.s1=r.entity_id WHERE src='S1' GROUP BY 1,2) SELECT country, nt=0 singleton, count(*) n, round(avg({_F}),6) f FROM m GROUP BY 1,2")
+def macro_f05_breakdown(spark, sf_dir):
+    refs = sides(spark, sf_dir)[0].select(F.col("entity_id").alias("s1"), "country")
+    f = decide.f_half(_truth(spark, sf_dir), decide.assign(scored(spark, sf_dir), 0.5), refs.select("s1")).join(refs, "s1")
+    return f.groupBy("country", (F.col("nt") == 0).alias("singleton")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f"), 6).alias("f"))
+
+
+@query(SCORED + ", tq AS (SELECT *, substr(rid,4)::BIGINT % 40 fold, md5(rid||'train')<'4' picked FROM scored) SELECT rid, s1, CASE WHEN fold=0 THEN 'val' ELSE 'train' END part FROM tq WHERE fold=0 OR (fold BETWEEN 1 AND 5 AND picked)")
+def train_sample(spark, sf_dir):
+    fold = F.substring("rid", 4, 20).cast("bigint") % 40
+    picked = F.md5(F.concat("rid", F.lit("train"))) < "4"
+    return scored(spark, sf_dir).filter((fold == 0) | (fold.between(1, 5) & picked)).select("rid", "s1", F.when(fold == 0, "val").otherwise("train").alias("part"))
+
+
+@query()
+def union_recall_grid(spark, sf_dir):
+    s, r = sides(spark, sf_dir)
+    g = lambda df: retrieval.features(df, T.trigrams(F.col("nc")))
+    first, second = retrieval.retrieve(words(r), words(s), 20, 200, 5), retrieval.retrieve(g(r), g(s), 10, 100, 8)
+    return retrieval.union_grid(first, second, _truth(spark, sf_dir), r.count(), (5, 20), (5, 10), (0.3, 0.6))
+
+
+@query(f"""WITH {RECORDS}, {_rare('nc', 2, False)}, k AS (SELECT country, string_agg(key, '+' ORDER BY key) key, entity_id FROM keys GROUP BY country, entity_id HAVING count(*)=2)
+SELECT country, key, count(*) n, min(entity_id) first_id, max(entity_id) last_id FROM k GROUP BY 1,2 HAVING count(*)>1""")
+def rare_token_clusters(spark, sf_dir):
+    """Records whose two rarest tokens are the same."""
+    k = blocking.rare_keys(records(spark, sf_dir), "nc", 2).groupBy("country", "entity_id").agg(F.array_sort(F.collect_list("key")).alias("ks")).filter(F.size("ks") == 2)
+    return k.groupBy("country", F.array_join("ks", "+").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"), F.max("entity_id").alias("last_id")).filter("n > 1")

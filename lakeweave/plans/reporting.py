@@ -42,7 +42,7 @@ FLAGS = {
 }
 #: A word's edges by Unicode letters, as engines differ on what \\b takes for a word.
 LEFT, RIGHT = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
-FLAGS = {name: (of, re.sub(r"(^|(?<=[|()]))\\b", lambda m: LEFT, p).replace("\\b", RIGHT)) for name, (of, p) in FLAGS.items()}
+FLAGS = {name: (of, re.sub(r"(^|(?<=[|(])|(?<=\(\?i\)))\\b", lambda m: LEFT, p).replace("\\b", RIGHT)) for name, (of, p) in FLAGS.items()}
 _N = {"N": ("substring(coalesce(text,''),1,40)", lambda: F.substring(F.coalesce("text", F.lit("")), 1, 40)), "A": ("substring(coalesce(text,''),41,80)", lambda: F.substring(F.coalesce("text", F.lit("")), 41, 80))}
 
 
