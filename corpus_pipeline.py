@@ -45,7 +45,7 @@ def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, their count and digests; the text itself has served."""
-    return bpe.encode(docs, vocab.path(RANKS), vocab.PATTERN).drop("text")
+    return bpe.encode(docs, vocab.path(RANKS), vocab.PATTERN, keep_memo=False).drop("text")
 
 
 STAGES = [

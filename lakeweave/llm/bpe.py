@@ -165,7 +165,7 @@ def _replay(data: bytes) -> Replay:
     return _WORKER[name]
 
 
-def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", keep_ids: bool = True, keep_memo: bool = True) -> DataFrame:
     """Encodes whole texts and decodes the ids again.
 
     Returns the given columns, and n_tokens (long), ids (array<int>, if keep_ids), ids_sha256 (of the ids as
@@ -173,6 +173,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
     tokens. Rows keep to themselves: repeated rows are encoded alike, an empty table gives an empty table. Given
     columns of the same names as new ones are replaced.
 
+    keep_memo: workers keep what they have encoded from task to task; else a task leaves no memory behind.
     ranks_file is read on the driver (its size is fixed, under 1 MB for 50,000 tokens) and broadcast.
     """
     with open(ranks_file, "rb") as f:
@@ -211,6 +212,10 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
                 rows = batch.slice(start, len(block))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *(made[c] for c in new)], names=[*rows.schema.names, *new])
                 start += len(block)
+        if not keep_memo:
+            _WORKER.clear()
+            del replay
+            gc.collect()
 
     return docs.mapInArrow(run, schema)
 
