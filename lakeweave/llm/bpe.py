@@ -24,7 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Characters of text that make up a block, and encoded words that a worker remembers.
-BLOCK_CHARS, MEMO_WORDS = 2_000_000, 240_000
+BLOCK_CHARS, MEMO_WORDS = 3_000_000, 500_000
+#: The same where workers are to stay small.
+SMALL_BLOCK_CHARS, SMALL_MEMO_WORDS = 1_000_000, 120_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -173,7 +175,8 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
     tokens. Rows keep to themselves: repeated rows are encoded alike, an empty table gives an empty table. Given
     columns of the same names as new ones are replaced.
 
-    keep_memo: workers keep what they have encoded from task to task; else a task leaves no memory behind.
+    keep_memo: workers keep what they have encoded from task to task; else blocks and memo are small and a task leaves
+    no memory behind.
     ranks_file is read on the driver (its size is fixed, under 1 MB for 50,000 tokens) and broadcast.
     """
     with open(ranks_file, "rb") as f:
@@ -188,12 +191,14 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, find = _replay(data.value), regex.compile(pattern).findall
+        most = BLOCK_CHARS if keep_memo else SMALL_BLOCK_CHARS
+        replay.memo_words = MEMO_WORDS if keep_memo else SMALL_MEMO_WORDS
         for batch in batches:
             texts = batch.column(at)
             start = 0
             while start < batch.num_rows:
                 chars, block = 0, []
-                while start + len(block) < batch.num_rows and (not block or chars < BLOCK_CHARS):
+                while start + len(block) < batch.num_rows and (not block or chars < most):
                     one = texts[start + len(block)].as_py() or ""
                     chars += len(one)
                     block.append(find(one))
