@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lakeweave.llm.common import small_batches
+
 #: Characters of text that make up a block, and encoded words that a worker remembers.
 BLOCK_CHARS, MEMO_WORDS = 3_000_000, 500_000
 #: The same where workers are to stay small.
@@ -179,6 +181,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
     no memory behind.
     ranks_file is read on the driver (its size is fixed, under 1 MB for 50,000 tokens) and broadcast.
     """
+    small_batches(docs.sparkSession)
     with open(ranks_file, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
     new = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}

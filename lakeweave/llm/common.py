@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: Arrow batches of Spark's default length would hold tens of MB on either side. A
+    length that the session sets itself stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 class Stages:
     """Intermediate tables in the shared folder. They cut lineage: a lost executor costs its running tasks only.
 
@@ -32,6 +39,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.top, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
 
     def put(self, df: DataFrame) -> DataFrame:

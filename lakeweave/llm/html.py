@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist link meta base area param source track col colgroup".split())
@@ -342,6 +344,8 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
     """Adds the visible text of each page. Null pages give an empty text, repeated rows equal texts; a column of the
     new name is replaced."""
 
+    small_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def run(column):
         return column.map(render)

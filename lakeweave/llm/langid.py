@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import small_batches
+
 #: Rows of each language in the sample (about as many), words kept for each language, longest n-gram.
 SAMPLE_ROWS, WORDS_KEPT, NGRAM = 1500, 20_000, 5
 MEMO_WORDS = 400_000
@@ -133,6 +135,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A text that is null or has no letter gets `und` and 0, and so does every text if nothing could be learned.
     Columns of the new names are replaced; repeated rows get equal answers; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS_KEPT words for each language
 
     @F.pandas_udf("lang_pred string, score double")

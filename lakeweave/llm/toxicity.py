@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import Stages
+from lakeweave.llm.common import Stages, small_batches
 
 #: Labelled rows in the sample (about as many), words that are features, folds, strength of the ridge penalty.
-SAMPLE_ROWS, FEATURES, FOLDS, RIDGE = 20_000, 256, 5, 0.2
+SAMPLE_ROWS, FEATURES, FOLDS, RIDGE = 12_000, 256, 5, 0.2
 LEAST_TEXTS = 4
 THRESHOLD = 0.35
 
@@ -137,6 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key: st
 
 def predict(docs: DataFrame, chain: Chain, text: str = "text", into: str = "toxicity") -> DataFrame:
     """Adds a struct of the categories' probabilities, from the whole text. A null or empty text has no words."""
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(chain)  # FEATURES words and their weights
     schema = ", ".join(f"`{c}` double" for c in chain.categories)
 
