@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lakeweave.llm.common import small_batches
+from lakeweave.llm.common import release, small_batches
 
 #: Characters of text that make up a block, and encoded words that a worker remembers.
 BLOCK_CHARS, MEMO_WORDS = 3_000_000, 500_000
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
         if not keep_memo:
             _WORKER.clear()
             del replay
-            gc.collect()
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def release() -> None:
+    """Gives free memory back to the system at the end of a Python task: workers live on, and what each keeps adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library of other systems may lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Stages:
     """Intermediate tables in the shared folder. They cut lineage: a lost executor costs its running tasks only.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import Stages
+from lakeweave.llm.common import Stages, release
 
 COORDINATES = 64
 #: Members of a block of comparisons, on either side.
@@ -87,8 +87,8 @@ def _features(docs: DataFrame, size: int, full: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                rows = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 250):
+                rows = batch.slice(start, 250)
                 own = [shingles(t, size) for t in rows.column("text").to_pylist()]
                 digest = [xxhash.xxh3_128_intdigest(o.tobytes()) for o in own]
                 two = [np.array(x, np.uint64).astype(np.int64) for x in ([d >> 64 for d in digest], [d & 2**64 - 1 for d in digest])]
@@ -97,6 +97,7 @@ def _features(docs: DataFrame, size: int, full: bool) -> DataFrame:
                     [rows.column("doc_id"), pa.array([len(o) for o in own], pa.int32()), *map(pa.array, two), lists(sig), *([lists([o.view(np.int64) for o in own])] * full)],
                     names=["doc_id", "n", "d1", "d2", "sig", *["own"] * full],
                 )
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import WORD, Stages
+from lakeweave.llm.common import WORD, Stages, release
 
 SENTENCES, RUN_WORDS, LONG_WORDS = 2, 12, 24
 CLAUSE_WORDS = 14
@@ -99,8 +99,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "k", "x", "p"]
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                rows = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                rows = batch.slice(start, 200)
                 out = []
                 for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                     if t:
@@ -109,6 +109,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 columns = list(zip(*out)) if out else [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
+                out = columns = None
+        release()
 
     spans = stages.put(own.mapInArrow(find, "h long, k long, x int, p long"))
     repeated = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "x", "p")).alias("first")).filter("n > 1").select("h", "first")

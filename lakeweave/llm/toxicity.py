@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import Stages, small_batches
+from lakeweave.llm.common import Stages, release, small_batches
 
 #: Labelled rows in the sample (about as many), words that are features, folds, strength of the ridge penalty.
 SAMPLE_ROWS, FEATURES, FOLDS, RIDGE = 12_000, 256, 5, 0.2
@@ -109,6 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key: st
             copy = ["-".join(f"{h:x}" for h in heapq.nsmallest(2, (xxhash.xxh3_64_intdigest(w) for w in words))) for words in own]
             rest = [batch.column(c) for c in ("key", "fold", *categories)]
             yield pa.RecordBatch.from_arrays([pa.array(copy, pa.string()), *rest, pa.array(own, pa.list_(pa.string()))], names=["copy", "key", "fold", *categories, "words"])
+        release()
 
     kind = labels.schema[key].dataType.simpleString()
     schema = f"copy string, key {kind}, fold long, " + ", ".join(f"`{c}` double" for c in categories) + ", words array<string>"
