@@ -61,6 +61,13 @@ def abbrev_expand(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(w, lambda x: T.mapped(x, T.mapping(T.ABBREVIATIONS))), " ").alias("e"))
 
 
+@query(SQL["abbrev_expand"].replace("[1:40]", ""))
+def abbrev_expand_whole(spark, sf_dir):
+    """As abbrev_expand, over all words of the text."""
+    w = F.split(T.basic(F.col("text")), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(w, lambda x: T.mapped(x, T.mapping(T.ABBREVIATIONS))), " ").alias("e"))
+
+
 @query(f"SELECT doc_id, array_to_string(list_transform(string_split({BASIC},' '), lambda x: CASE WHEN regexp_matches(x,'[a-z]') AND regexp_matches(x,'[0-9]') THEN translate(x,'013547','olesat') ELSE x END),' ') u FROM documents")
 def leet_fix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.unleet(T.basic(F.col("text"))).alias("u"))

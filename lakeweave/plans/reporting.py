@@ -54,6 +54,18 @@ def profile_flags(spark, sf_dir):
     return wide.unpivot("lang", list(FLAGS), "flag", "rate").withColumn("rate", F.round("rate", 6))
 
 
+#: An end that both engines take for the very end of the text: Java's $ also stands before a last line break.
+_WHOLE = {name: p.replace("$", r"\z") for name, (_, p) in FLAGS.items()}
+
+
+@query("WITH f AS (SELECT lang, " + ", ".join(f"avg(regexp_matches(coalesce(text,''), '{p}')::INT) {n}" for n, p in _WHOLE.items()) + " FROM documents GROUP BY 1) SELECT lang, flag, round(rate,6) rate FROM f UNPIVOT (rate FOR flag IN (" + ", ".join(FLAGS) + "))")
+def profile_flags_whole(spark, sf_dir):
+    """As profile_flags, with every pattern matched on the whole text."""
+    d = table(spark, sf_dir, "documents")
+    wide = d.groupBy("lang").agg(*(F.avg(F.coalesce("text", F.lit("")).rlike(p).cast("int")).alias(n) for n, p in _WHOLE.items()))
+    return wide.unpivot("lang", list(FLAGS), "flag", "rate").withColumn("rate", F.round("rate", 6))
+
+
 @query("SELECT source, count(*) n, count(DISTINCT doc_id) n_id, round(avg((text IS NULL)::INT),6) null_rate, round(count(DISTINCT text)::DOUBLE/count(*),6) distinct_rate, median(n_chars) med, quantile_disc(n_chars,0.95)::BIGINT q95, min(n_chars) lo, max(n_chars) hi FROM documents GROUP BY 1")
 def profile_overview(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -1,0 +1,24 @@
+"""Queries over whole texts, where the ones of the same name without _whole read a prefix."""
+
+from lakeweave.functions import text as T
+from lakeweave.plans import catalog
+
+
+def documents(spark, path, texts):
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_abbreviations_at_any_place(spark, tmp_path):
+    short, long = next(iter(T.ABBREVIATIONS.items()))
+    texts = [" ".join(["word"] * n + [short, "end"]) for n in (0, 39, 40, 500)] + [None]
+    got = {r.doc_id: r.e for r in catalog.QUERIES["abbrev_expand_whole"](spark, documents(spark, tmp_path, texts)).collect()}
+    assert got == {i: " ".join(T.ABBREVIATIONS.get(w, w) for w in (t or "").split(" ")) for i, t in enumerate(texts)}
+    assert long in got[3].split()
+
+
+def test_flags_at_any_place(spark, tmp_path):
+    texts = ["word " * 100 + "(Near) 12345 & x.com", "word " * 100, "word " * 100 + "\n", None]
+    got = {r.flag: r.rate for r in catalog.QUERIES["profile_flags_whole"](spark, documents(spark, tmp_path, texts)).collect()}
+    assert {k: got[k] for k in ("name_paren", "name_amp", "name_domain", "addr_zip5", "addr_near", "name_upper")} == {"name_paren": 0.25, "name_amp": 0.25, "name_domain": 0.25, "addr_zip5": 0.25, "addr_near": 0.25, "name_upper": 0.0}
