@@ -1,11 +1,14 @@
 """The engine's views of the driver's tables: documents as records of entities, and the same in SQL.
 
 A record's country is the document's language, its source S1, S2 or S3 by id, its name the first six words of the
-normalised text and its address the next 18.
+normalised text and its address the next 18, or in the queries made by whole() all the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,11 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WHOLE = ContextVar("whole", default=False)
+
+
+def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over records whose address is all words after the name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _WHOLE.set(True)
+        try:
+            return f(spark, sf_dir)
+        finally:
+            _WHOLE.reset(token)
+
+    return run
+
+
+def whole_sql(sql: str) -> str:
+    return sql.replace("w[7:24]", "w[7:]")
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split(T.basic(F.col("text")), " ")
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), words.alias("w"))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    rows = d.select(F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), F.col("doc_id")).alias("entity_id"), "country", F.concat(F.lit("S"), F.col("doc_id") % 3 + 1).alias("src"), part(1, 6).alias("nb"), part(7, 18).alias("ab"))
+    rows = d.select(F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), F.col("doc_id")).alias("entity_id"), "country", F.concat(F.lit("S"), F.col("doc_id") % 3 + 1).alias("src"), part(1, 6).alias("nb"), part(7, F.size("w") if _WHOLE.get() else 18).alias("ab"))
     return rows.withColumns({"nc": T.name_core(F.col("nb")), "num": F.array_join(T.numbers(F.col("ab")), " ")})
 
 

@@ -22,3 +22,13 @@ def test_flags_at_any_place(spark, tmp_path):
     texts = ["word " * 100 + "(Near) 12345 & x.com", "word " * 100, "word " * 100 + "\n", None]
     got = {r.flag: r.rate for r in catalog.QUERIES["profile_flags_whole"](spark, documents(spark, tmp_path, texts)).collect()}
     assert {k: got[k] for k in ("name_paren", "name_amp", "name_domain", "addr_zip5", "addr_near", "name_upper")} == {"name_paren": 0.25, "name_amp": 0.25, "name_domain": 0.25, "addr_zip5": 0.25, "addr_near": 0.25, "name_upper": 0.0}
+
+
+def test_records_of_whole_texts(spark, tmp_path):
+    same = " ".join(f"alpha{k}" for k in range(24))
+    texts = [same + " tail one", same + " tail one", same + " other end", " ".join(f"beta{k}" for k in range(24)) + " zeta omega", " ".join(f"gamma{k}" for k in range(24)) + " zeta omega"]
+    path = documents(spark, tmp_path, texts)  # sources by id: S1 has 0 and 3
+    n = {name: catalog.QUERIES[name](spark, path).first()["n"] for name in ("recall_at_k", "recall_at_k_whole")}
+    assert n == {"recall_at_k": 2, "recall_at_k_whole": 1}  # the third text differs from the first after word 24
+    found = {name: {(r.rid, r.s1) for r in catalog.QUERIES[name](spark, path).collect()} for name in ("retrieve_words_topk", "retrieve_words_topk_whole")}
+    assert found["retrieve_words_topk_whole"] - found["retrieve_words_topk"] == {("S2-4", "S1-3")}  # words after the 24th
