@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import bpe, html, langid, media, minhash, mixing, quality, substring, toxicity, urls
-from lakeweave.llm.common import table
+from lakeweave.llm.common import Stages, table
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -59,11 +59,15 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """There is no audio in the tables; each embedding is rendered as a recording of 64 notes."""
+    """There is no audio in the tables; each embedding is rendered as a recording of 64 notes.
+
+    Rows with a query_id are matches of a query and a class, which goes by its smallest id (match_id); rows with a
+    member_id say to which class each vector belongs.
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    prints = media.fingerprints(vectors, F.col("embedding"), read=media.render).select("vec_id", "fingerprint")
+    prints = Stages(spark, "prints").put(media.fingerprints(vectors, F.col("embedding"), read=media.render).select("vec_id", "fingerprint"))
     out = media.search(prints, F.col("vec_id") % 20 == 0)
-    return out.withColumn("bit_error_rate", F.round("bit_error_rate", 6))
+    return out.withColumn("bit_error_rate", F.round("bit_error_rate", 6)).unionByName(media.membership(prints), allowMissingColumns=True)
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
