@@ -20,3 +20,13 @@ def test_media_membership(spark, tmp_path):
             classes.setdefault(r.match_id, set()).add(r.member_id)
     assert classes == {20: {20, 21, 22}, 23: {23}, 24: {24, 25}}
     assert {(r.query_id, r.match_id, r.members) for r in out if r.query_id is not None} == {(20, 20, 3)}
+
+
+def test_clips_of_a_long_recording(spark):
+    rng = np.random.RandomState(5)
+    long = rng.randint(-(2**31), 2**31, 10_000).astype(np.int32)
+    rows = [(100, long.tolist())] + [(i, long[900 * i + 7 : 900 * i + 121].tolist()) for i in range(10)] + [(50 + i, rng.randint(-(2**31), 2**31, 114).tolist()) for i in range(10)]
+    prints = spark.createDataFrame(rows, "vec_id long, fingerprint array<int>")
+    got = {(r.query_id, r.match_id, r.offset) for r in media.search(prints, F.col("vec_id") < 10).collect()}
+    assert got == {(i, 100, 900 * i + 7) for i in range(10)}
+    assert {(r.query_id, r.match_id) for r in media.search(prints, F.col("vec_id") == 100).collect()} == {(100, i) for i in range(10)}
