@@ -35,8 +35,10 @@ def _pieces(clause: str) -> list[str]:
     if len(clause.split(None, CLAUSE_WORDS)) <= CLAUSE_WORDS:
         return [clause] if clause else []
     out, at = [], 0
-    for m in _WORD_AND_SPACE.finditer(clause):
-        if xxhash.xxh3_64_intdigest(m[1]) % 8 == 0:
+    found = list(_WORD_AND_SPACE.finditer(clause))
+    h = [2**64, *(xxhash.xxh3_64_intdigest(m[1]) for m in found), 2**64]
+    for k, m in enumerate(found, 1):
+        if h[k] <= h[k - 1] and h[k] <= h[k + 1]:
             out.append(clause[at : m.end()])
             at = m.end()
     return [*out, clause[at:]] if at < len(clause) else out
@@ -44,8 +46,8 @@ def _pieces(clause: str) -> list[str]:
 
 def sentences(text: str) -> list[str]:
     """The sentences of a text; together they are the text. Those of over CLAUSE_WORDS words are cut at their clauses,
-    and clauses as long as that after words picked by their hash, which cuts equal passages alike: a passage that
-    begins or ends within a long sentence would else escape."""
+    and clauses as long as that after words whose hash is the least of theirs and their neighbours', which cuts equal
+    passages alike: a passage that begins or ends within a long sentence would else escape."""
     out = []
     for s in _SENTENCE.findall(text) if text else ():
         if len(s) > 2 * CLAUSE_WORDS and len(s.split(None, CLAUSE_WORDS)) > CLAUSE_WORDS:

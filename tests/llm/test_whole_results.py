@@ -30,3 +30,20 @@ def test_clips_of_a_long_recording(spark):
     got = {(r.query_id, r.match_id, r.offset) for r in media.search(prints, F.col("vec_id") < 10).collect()}
     assert got == {(i, 100, 900 * i + 7) for i in range(10)}
     assert {(r.query_id, r.match_id) for r in media.search(prints, F.col("vec_id") == 100).collect()} == {(100, i) for i in range(10)}
+
+
+def test_passages_without_marks():
+    rng = random.Random(1)
+    word = lambda: f"w{rng.getrandbits(40):x}"
+    for distinct, most in ((51, 0.12), (25, 0.13)):
+        left = []
+        for _ in range(300):
+            stock = [word() for _ in range(distinct)]
+            passage = stock if distinct == 51 else rng.choices(stock, k=51)
+            texts = [" ".join([*(word() for _ in range(rng.randint(20, 60))), *passage, *(word() for _ in range(rng.randint(20, 60)))]) for _ in range(2)]
+            first = {h for h, _, _ in substring.runs(substring.sentences(texts[0]))}
+            parts = substring.sentences(texts[1])
+            gone = {k for h, s, c in substring.runs(parts) if h in first for k in range(s, s + c)}
+            left.append(1 - sum(len(parts[k].split()) for k in gone) / 51)
+        assert max(left) < 1  # none is missed wholly
+        assert sum(left) / len(left) < most
