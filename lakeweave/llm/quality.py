@@ -124,10 +124,13 @@ SCHEMA = "doc_id long, grp string, n_words long, word_chars long, n_symbols long
 
 
 def script_of(text: str) -> str:
-    """The script of most of the first letters that have one by Unicode name; only a stand-in for an unknown language."""
+    """The script of most letters of the text, by Unicode name; only a stand-in for an unknown language."""
     import unicodedata
 
-    names = Counter(unicodedata.name(c, "?").split(" ")[0] for c in text[:400] if c.isalpha())
+    names = Counter()
+    for c, n in Counter(text).items():  # a text has few distinct characters
+        if c.isalpha():
+            names[unicodedata.name(c, "?").split(" ")[0]] += n
     return "script:" + (names.most_common(1)[0][0] if names else "none")
 
 

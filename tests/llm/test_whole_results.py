@@ -47,3 +47,9 @@ def test_passages_without_marks():
             left.append(1 - sum(len(parts[k].split()) for k in gone) / 51)
         assert max(left) < 1  # none is missed wholly
         assert sum(left) / len(left) < most
+
+
+def test_script_of_a_whole_text():
+    assert quality.script_of("12 " * 200 + "слова здесь") == "script:CYRILLIC"
+    assert quality.script_of("latin words " * 40 + "слова здесь " * 80) == "script:CYRILLIC"
+    assert quality.script_of("12 " * 200) == "script:none"
