@@ -90,6 +90,11 @@ def fit(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray
     return models
 
 
+def copy_key(words: Sequence[str]) -> str:
+    """Equal for texts that are mostly copies: the eight least hashes of their words."""
+    return "-".join(f"{h:x}" for h in heapq.nsmallest(8, (xxhash.xxh3_64_intdigest(w) for w in words)))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key: str = "doc_id", text: str = "text") -> Chain:
     """docs: key and text; labels: key and one 0/1 column for each category (null: not labelled), in chain order.
 
@@ -105,8 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str], key: st
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
-            # texts that share their two least word hashes are mostly copies
-            copy = ["-".join(f"{h:x}" for h in heapq.nsmallest(2, (xxhash.xxh3_64_intdigest(w) for w in words))) for words in own]
+            copy = [copy_key(words) for words in own]
             rest = [batch.column(c) for c in ("key", "fold", *categories)]
             yield pa.RecordBatch.from_arrays([pa.array(copy, pa.string()), *rest, pa.array(own, pa.list_(pa.string()))], names=["copy", "key", "fold", *categories, "words"])
         release()

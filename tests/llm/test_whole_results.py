@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
-from lakeweave.llm import media, quality, queries, substring
+from lakeweave.llm import media, quality, queries, substring, toxicity
 
 
 def test_media_membership(spark, tmp_path):
@@ -53,3 +54,9 @@ def test_script_of_a_whole_text():
     assert quality.script_of("12 " * 200 + "слова здесь") == "script:CYRILLIC"
     assert quality.script_of("latin words " * 40 + "слова здесь " * 80) == "script:CYRILLIC"
     assert quality.script_of("12 " * 200) == "script:none"
+
+
+def test_copies_share_more_than_two_words():
+    words = sorted((f"word{k}" for k in range(200)), key=xxhash.xxh3_64_intdigest)
+    assert toxicity.copy_key(words[:2] + words[2:100]) != toxicity.copy_key(words[:2] + words[100:])
+    assert toxicity.copy_key(words[:100]) == toxicity.copy_key(words[:99])
