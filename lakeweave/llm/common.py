@@ -5,11 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that part words: space and \t \n \v \f \r. Everything else belongs to a word.
@@ -21,12 +22,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one of our own only where it names none."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, a temporary one, but only for a
+    session within one process: executors on other machines would not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.gettempdir()}/lakeweave-stages"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/lakeweave-stages"
+
+
+def col(name: str) -> Column:
+    """A column by its plain name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each lengthened until no column of the frame has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The frame without the columns of these names, in any case: new columns replace them."""
+    gone = {n.lower() for n in names}
+    return df.select(*(col(c) for c in df.columns if c.lower() not in gone)) if any(c.lower() in gone for c in df.columns) else df
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -200,28 +200,60 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0), labels, {"en": 1.0})[0].count() == 0
 
 
+def brute_groups(own):
+    """Components of recordings that match at any offset, each offset tried integer by integer."""
+    parent = {i: i for i in own}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def match(x, y):
+        short = min(len(x), len(y))
+        for shift in range(-len(x) + 1, len(y)):
+            pairs = [(x[k], y[k + shift]) for k in range(max(0, -shift), min(len(x), len(y) - shift))]
+            if 2 * len(pairs) >= short:
+                hits, wrong = sum(a == b for a, b in pairs), sum(bin(a ^ b).count("1") for a, b in pairs)
+                if hits >= 4 and 10 * hits >= short and 5 * wrong <= 32 * len(pairs):
+                    return True
+        return False
+
+    ids = sorted(own)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if root(i) != root(j) and match(own[i], own[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return {i: root(i) for i in ids}
+
+
 def test_media(spark):
     rng = np.random.RandomState(1)
-    base = rng.randn(30, 64)
-    near = base[:10] + rng.randn(10, 64) * 0.03
-    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, near, base[:2]]))] + [(100, None), (None, base[0].tolist()), (101, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    base = rng.randn(24, 64)
+    near = base[:10] + rng.randn(10, 64) * 0.06
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, near, base[:2]]))] + [(100, None), (None, base[0].tolist()), (101, []), (3, base[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("component_id", F.lit("clash")).withColumn("a.b", F.lit(1))
     prints = media.fingerprints(df, F.col("embedding"), read=media.render)
-    own = {r.vec_id: np.array(r.fingerprint, np.int32).view(np.uint32) for r in prints.collect() if r.vec_id is not None and len(r.fingerprint)}
-    assert set(own) == set(range(42))
-    got = {(r.query_id, r.match_id) for r in media.search(prints, F.col("vec_id") < 10).collect()}
-    rep = {i: min(j for j in own if np.array_equal(own[i], own[j])) for i in own}
-    want = set()
-    for q in range(10):
-        for j in own:
-            offset, hits, errors = media.align(own[q], own[j])
-            alone = sum(rep[k] == rep[q] for k in own) == 1
-            overlap = len(own[q]) - abs(offset)
-            if hits >= media.LEAST_HITS and errors <= media.MOST_BIT_ERRORS and overlap >= len(own[q]) / 2 and not (rep[j] == rep[q] and alone):
-                want.add((q, rep[j]))
-    assert len(want & got) >= 0.9 * len(want) and got <= want
-    assert {(q, 30 + q) for q in range(10)} <= got | {(q, rep[30 + q]) for q in range(10) if (q, rep[30 + q]) in got}
-    assert media.search(prints.limit(0), F.lit(True)).count() == 0
+    own = {r.vec_id: [x & 0xFFFFFFFF for x in r.fingerprint] for r in prints.collect() if r.vec_id is not None and len(r.fingerprint)}
+    out = media.group(prints).collect()
+    assert len(out) == len(rows)
+    want = brute_groups(own)
+    assert {r.vec_id: r.component_id for r in out if r.vec_id in own} == want
+    assert all(want[i] == want[24 + i] == i for i in range(10)) and all(want[i] == i for i in range(24))
+    assert {(r.vec_id, r.component_id, r.aligned_with) for r in out if r.vec_id in (None, 100, 101)} == {(None, None, None), (100, 100, None), (101, 101, None)}
+    assert {(r.aligned_with, r.offset) for r in out if r.vec_id in (34, 35)} == {(0, 0), (1, 0)}
+    assert media.group(prints.limit(0)).count() == 0
+
+
+def test_media_large_group(spark):
+    """Recordings made from one are one group, and nothing else joins it."""
+    rng = np.random.RandomState(4)
+    base = rng.randint(-(2**31), 2**31, 120)
+    flips = lambda: np.where(rng.rand(120) < 0.4, base ^ (1 << rng.randint(0, 31, 120)), base)
+    rows = [(i, flips().tolist()) for i in range(300)] + [(1000 + i, rng.randint(-(2**31), 2**31, 120).tolist()) for i in range(50)]
+    out = media.group(spark.createDataFrame(rows, "vec_id long, fingerprint array<int>")).collect()
+    assert {r.component_id for r in out if r.vec_id < 1000} == {0}
+    assert all(r.component_id == r.vec_id and r.aligned_with is None for r in out if r.vec_id >= 1000)
 
 
 def test_alignment_finds_the_offset():

@@ -15,12 +15,7 @@ def test_media_membership(spark, tmp_path):
     rows = [(20, base[0]), (21, base[0]), (22, base[0]), (23, base[1]), (24, base[2]), (25, base[2]), (26, None)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     out = queries.op7_media(spark, str(tmp_path)).collect()
-    classes = {}
-    for r in out:
-        if r.member_id is not None:
-            classes.setdefault(r.match_id, set()).add(r.member_id)
-    assert classes == {20: {20, 21, 22}, 23: {23}, 24: {24, 25}}
-    assert {(r.query_id, r.match_id, r.members) for r in out if r.query_id is not None} == {(20, 20, 3)}
+    assert {(r.vec_id, r.component_id, r.aligned_with) for r in out} == {(20, 20, None), (21, 20, 20), (22, 20, 20), (23, 23, None), (24, 24, None), (25, 24, 24), (26, 26, None)}
 
 
 def test_clips_of_a_long_recording(spark):
@@ -28,9 +23,9 @@ def test_clips_of_a_long_recording(spark):
     long = rng.randint(-(2**31), 2**31, 10_000).astype(np.int32)
     rows = [(100, long.tolist())] + [(i, long[900 * i + 7 : 900 * i + 121].tolist()) for i in range(10)] + [(50 + i, rng.randint(-(2**31), 2**31, 114).tolist()) for i in range(10)]
     prints = spark.createDataFrame(rows, "vec_id long, fingerprint array<int>")
-    got = {(r.query_id, r.match_id, r.offset) for r in media.search(prints, F.col("vec_id") < 10).collect()}
-    assert got == {(i, 100, 900 * i + 7) for i in range(10)}
-    assert {(r.query_id, r.match_id) for r in media.search(prints, F.col("vec_id") == 100).collect()} == {(100, i) for i in range(10)}
+    got = {r.vec_id: (r.component_id, r.aligned_with, r.offset) for r in media.group(prints).collect()}
+    assert {i: got[i] for i in range(10)} == {i: (0, 100, 900 * i + 7) for i in range(10)}
+    assert got[100][0] == 0 and all(got[50 + i] == (50 + i, None, None) for i in range(10))
 
 
 def test_passages_without_marks():
