@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from lakeweave.llm.common import release, small_batches
+from lakeweave.llm.common import col, release, small_batches, without
 
 #: Characters of text that make up a block, and encoded words that a worker remembers.
 BLOCK_CHARS, MEMO_WORDS = 3_000_000, 500_000
@@ -187,10 +188,12 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
     new = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     if not keep_ids:
         del new["ids"]
-    ddl = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in new))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{c} {ddl[c]}" for c in new])
-    at = docs.columns.index(text)
+    kinds = {"n_tokens": LongType(), "ids": ArrayType(IntegerType()), "ids_sha256": StringType(), "decoded_sha256": StringType()}
+    docs = without(docs, *new)
+    given, at = docs.columns, docs.columns.index(text)
+    # by number, as names may hold dots, or what the new ones are called in between
+    docs = docs.toDF(*(f"given{k}" for k in range(len(given))))
+    schema = StructType([*docs.schema.fields, *(StructField(c, kinds[c]) for c in new)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, find = _replay(data.value), regex.compile(pattern).findall
@@ -225,7 +228,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", k
             del replay
         release()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*given, *new)
 
 
 def decode(tokens: DataFrame, ranks_file: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -240,4 +243,4 @@ def decode(tokens: DataFrame, ranks_file: str, ids: str = "ids", to: str = "deco
         replay = _replay(data.value)
         return column.map(lambda x: None if x is None else b"".join(replay.token[int(i)] for i in x))
 
-    return tokens.withColumn(to, run(F.col(ids)))
+    return tokens.withColumn(to, run(col(ids)))

@@ -27,8 +27,9 @@ def mixing_labels(docs: DataFrame, labels: DataFrame, low: bool = True) -> DataF
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows, domains, _ = mixing.mix(docs.select("doc_id", "text"), mixing_labels(docs, table(spark, sf_dir, "labels")), MIX, with_text=False)
-    own = mixing.OWN
+    texts = docs.select("doc_id", "text")
+    rows, domains, _ = mixing.mix(texts, mixing_labels(docs, table(spark, sf_dir, "labels")), MIX, with_text=False)
+    own = mixing.prefix(texts)
     posteriors = (F.round(f"{own}p{i}", 6).alias(f"p_{d}") for i, d in enumerate(domains))
     return rows.select("doc_id", F.col(f"{own}n_tokens").alias("n_tokens"), F.round(f"{own}rate", 6).alias("rate"), *posteriors)
 

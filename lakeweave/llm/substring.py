@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import WORD, Stages, release
+from lakeweave.llm.common import WORD, Stages, col, fresh, release, without
 
 SENTENCES, RUN_WORDS, LONG_WORDS = 2, 12, 24
 CLAUSE_WORDS = 14
@@ -95,8 +95,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     spark = docs.sparkSession
     stages = Stages(spark, "substring")
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_sentences", "n_removed")))
-    own = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    docs = without(docs, "n_sentences", "n_removed")
+    own = docs.select(col(key).cast("long").alias("k"), col(text).cast("string").alias("t"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "k", "x", "p"]
@@ -115,34 +115,40 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         release()
 
     spans = stages.put(own.mapInArrow(find, "h long, k long, x int, p long"))
-    repeated = spans.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "x", "p")).alias("first")).filter("n > 1").select("h", "first")
-    again = spans.join(repeated, "h").filter(F.struct("k", "x", "p") != F.col("first"))
+    # hashes alone go to be counted; a frequent one is summed before it is moved
+    repeated = stages.put(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    # both sides are tables, so that a frequent hash's rows may be split among tasks
+    shared = stages.put(spans.join(repeated, "h"))
+    stages.drop(spans, repeated)
+    first = stages.put(shared.groupBy("h").agg(F.min(F.struct("k", "x", "p")).alias("first")))
+    again = shared.join(first, "h").filter(F.struct("k", "x", "p") != F.col("first"))
     # as many rows for a document as it has sentences at most
-    covered = again.groupBy("k", "x").agg(F.collect_set("p").alias("spans"))
-    covered = stages.put(covered)
-    stages.drop(spans)
+    covered = stages.put(again.groupBy("k", "x").agg(F.collect_set("p").alias("spans")))
+    stages.drop(shared, first)
 
     @F.pandas_udf("int")
     def text_key(texts):
         return texts.map(lambda t: _text_key(t) if t else None).astype("Int32")
 
-    marked = docs.withColumn("__x", text_key(F.col(text).cast("string")))
-    joined = marked.join(covered.select(F.col("k").alias("__k"), F.col("x").alias("__y"), F.col("spans").alias("__spans")), (F.col("__x") == F.col("__y")) & (F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("__k")), "left")
+    x, k, y, found, made = fresh(docs, "text_key", "covered_key", "covered_text", "covered_spans", "cut")
+    marked = docs.withColumn(x, text_key(col(text).cast("string")))
+    covered = covered.select(F.col("k").alias(k), F.col("x").alias(y), F.col("spans").alias(found))
+    joined = marked.join(covered, (F.col(x) == F.col(y)) & (F.coalesce(col(key).cast("long"), F.lit(LAST)) == F.col(k)), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def cut(texts, spans_):
         import pandas as pd
 
         out = []
-        for t, found in zip(texts, spans_):
+        for t, found_ in zip(texts, spans_):
             parts = sentences(t) if t else []
             gone = set()
-            if found is not None:
-                for span in map(int, found):
+            if found_ is not None:
+                for span in map(int, found_):
                     gone.update(range(span >> 32, (span >> 32) + (span & 0xFFFFFFFF)))
-            out.append(("".join(p for k, p in enumerate(parts) if k not in gone) if t is not None else None, len(parts), len(gone)))
+            out.append(("".join(p for i, p in enumerate(parts) if i not in gone) if t is not None else None, len(parts), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
 
-    cut_ = joined.withColumn("__cut", cut(F.col(text).cast("string"), F.col("__spans")))
-    columns = [F.col("__cut.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return cut_.select(*columns, F.col("__cut.n_sentences").alias("n_sentences"), F.col("__cut.n_removed").alias("n_removed"))
+    cut_ = joined.withColumn(made, cut(col(text).cast("string"), F.col(found)))
+    columns = [F.col(f"{made}.text").alias(c) if c == text else col(c) for c in docs.columns]
+    return cut_.select(*columns, F.col(f"{made}.n_sentences").alias("n_sentences"), F.col(f"{made}.n_removed").alias("n_removed"))
