@@ -1,9 +1,10 @@
 """Layout-aware text of HTML pages.
 
-A tree builder with implied tags turns tag soup into a tree; visibility rules drop what a reader does not see; a
-renderer emits the rest as a browser would lay it out: one line for each block, blank lines around paragraphs and the
-like, markers and indentation for lists, padded columns for tables, spaces kept in pre. Nothing here recurses, so
-nesting may be arbitrarily deep.
+A tree builder with implied tags turns tag soup into a tree; visibility rules drop what a reader does not see: tags that
+never show, hidden attributes, and what style attributes and style sheets (rules by tag, class and id) hide. A renderer
+emits the rest as a browser would lay it out: one line for each block, blank lines around paragraphs and the like,
+markers and indentation for lists, padded columns for tables, whose cells may have several lines, span columns and rows
+and hold tables of their own, spaces kept in pre. Nothing here recurses, so nesting may be arbitrarily deep.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import small_batches
+from lakeweave.llm.common import col, small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -48,7 +49,9 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_COMPOUND = re.compile(r"(?:\*|[a-zA-Z][\w-]*)?(?:[.#]-?[\w-]+)*")
+_DECLARED = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
 
 
 class Node:
@@ -148,13 +151,81 @@ def build(html: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
-        return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and _UNSEEN.search(a["style"]))
+class Sheet:
+    """What a page's style sheets and attributes say of display and visibility. Selectors are a tag, classes and ids in
+    one; those with combinators, attributes or states are not followed. Of @media only rules for screen or all count."""
+
+    def __init__(self, root: Node):
+        #: by what its selector names last: (specificity, order), tag or "", ids, classes, property, value
+        self.rules: dict[str, list[tuple]] = {}
+        order, stack = 0, [root]
+        while stack:
+            node = stack.pop()
+            if node.tag == "style":
+                css = "".join(c for c in node.children if isinstance(c, str))
+                if re.search(r"none|hidden|collapse", css, re.I):
+                    for selectors, declared in self._blocks(_COMMENT.sub(" ", css)):
+                        order += 1
+                        self._add(selectors, declared, order)
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+
+    @staticmethod
+    def _blocks(css: str) -> Iterator[tuple[str, str]]:
+        at, n, inside = 0, len(css), 0
+        while at < n:
+            brace = css.find("{", at)
+            close = css.find("}", at)
+            if inside and 0 <= close and (close < brace or brace < 0):  # the end of a @media block
+                inside, at = inside - 1, close + 1
+                continue
+            if brace < 0:
+                return
+            head = css[at:brace].rsplit(";", 1)[-1].strip()
+            if head.startswith("@"):
+                media = [m.strip().lower() for m in head[6:].split(",")] if head.lower().startswith("@media") else []
+                if "screen" in media or "all" in media or media == [""]:
+                    inside, at = inside + 1, brace + 1
+                    continue
+                depth, at = 1, brace + 1
+                while at < n and depth:
+                    depth += (css[at] == "{") - (css[at] == "}")
+                    at += 1
+                continue
+            end = css.find("}", brace)
+            end = n if end < 0 else end
+            yield head, css[brace + 1 : end]
+            at = end + 1
+
+    def _add(self, selectors: str, declared: str, order: int) -> None:
+        found = [(name.lower(), value.lower(), bool(force)) for name, value, force in _DECLARED.findall(declared)]
+        for selector in selectors.split(",") if found else ():
+            selector = selector.strip()
+            if not selector or not _COMPOUND.fullmatch(selector):
+                continue
+            tag = re.match(r"[^.#]*", selector)[0].lower().replace("*", "")
+            ids, classes = frozenset(re.findall(r"#([\w-]+)", selector)), frozenset(re.findall(r"\.([\w-]+)", selector))
+            key = "#" + min(ids) if ids else "." + min(classes) if classes else tag
+            for name, value, force in found:
+                self.rules.setdefault(key, []).append(((force, len(ids), len(classes), bool(tag), order), tag, ids, classes, name, value))
+
+    def look(self, node: Node) -> tuple[bool, str]:
+        """Whether an element is laid out at all, and its own visibility, empty where it takes its parent's."""
+        a = node.attrs
+        if node.tag in HIDDEN or node.tag == "input" and a.get("type", "").lower() == "hidden":
+            return False, ""
+        best = {"display": ((False, -1), "none" if "hidden" in a or node.tag == "dialog" and "open" not in a else ""), "visibility": ((False, -1), "")}
+        if self.rules:
+            own = a.get("class", "").split()
+            for key in ("", node.tag, *("." + c for c in own), *(("#" + a["id"],) if "id" in a else ())):
+                for rank, tag, ids, classes, name, value in self.rules.get(key, ()):
+                    if (not tag or tag == node.tag) and ids <= {a.get("id")} and classes <= set(own) and rank > best[name][0]:
+                        best[name] = rank, value
+        if "style" in a:
+            for name, value, force in _DECLARED.findall(a["style"]):
+                name, rank = name.lower(), (bool(force), 1_000_000)
+                if rank >= best[name][0]:
+                    best[name] = rank, value.lower()
+        return best["display"][1] != "none", best["visibility"][1]
 
 
 def width(s: str) -> int:
@@ -205,24 +276,57 @@ class Frame:
         self.blank |= spaced and bool(self.lines)
 
 
-def aligned(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell, columns it spans): cells of one column start at the same place, two spaces apart."""
-    widths: dict[int, int] = {}
-    for row in rows:
+def aligned(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of (lines of a cell, columns and rows it spans): cells of one column start at the same place, two spaces
+    apart, and cells of one row on the same line."""
+    placed, taken = [], {}  # taken: column -> first row in which it is free again
+    for r, row in enumerate(rows):
         at = 0
-        for cell, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), width(cell))
-            at += span
-    out = []
-    for row in rows:
-        at, line = 0, ""
-        for cell, span in row:
-            room = sum(widths.get(k, 0) for k in range(at, at + span)) + 2 * (span - 1)
-            line += cell + " " * (max(0, room - width(cell)) + 2)
-            at += span
-        out.append(line.rstrip())
-    return out
+        for lines, across, down in row:
+            while taken.get(at, 0) > r:
+                at += 1
+            down = min(down, len(rows) - r)
+            placed.append((r, at, lines, across, down))
+            if down > 1:
+                for k in range(at, at + across):
+                    taken[k] = r + down
+            at += across
+    widths: dict[int, int] = {}
+    heights = [1] * len(rows)
+    for r, at, lines, across, down in placed:
+        if across == 1:
+            widths[at] = max(widths.get(at, 0), *map(width, lines), 0)
+        if down == 1:
+            heights[r] = max(heights[r], len(lines))
+    for r, at, lines, across, down in placed:  # what spans several widens the last of them
+        if across > 1:
+            room = sum(widths.get(k, 0) for k in range(at, at + across)) + 2 * (across - 1)
+            widths[at + across - 1] = widths.get(at + across - 1, 0) + max(0, max(map(width, lines), default=0) - room)
+        if down > 1:
+            heights[r + down - 1] += max(0, len(lines) - sum(heights[r : r + down]))
+    start, top = {}, [0]
+    for k in range(max(widths, default=0) + 1):
+        start[k] = start[k - 1] + widths.get(k - 1, 0) + 2 if k else 0
+    for height in heights:
+        top.append(top[-1] + height)
+    out: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
+    for r, at, lines, _, _ in placed:
+        for k, line in enumerate(lines):
+            if line:
+                out[top[r] + k].append((start[at], line))
+    text = []
+    for cells in out:
+        line, used = [], 0
+        for at, cell in sorted(cells):
+            line.append(" " * (at - used) + cell)
+            used = at + width(cell)
+        text.append("".join(line).rstrip())
+    return text
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attrs.get(name, "1").strip()
+    return min(most, int(value)) if value.isascii() and value.isdigit() and len(value) < 10 and int(value) else 1
 
 
 def render(html: str | None) -> str:
@@ -232,37 +336,42 @@ def render(html: str | None) -> str:
     root = build(html)
     frames, tables, lists = [Frame()], [], []
     pre = 0
-    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    sheet = Sheet(root)
+    # node, whether it is being left, whether its parent's text shows
+    stack: list[tuple[Node | str, bool, bool]] = [(root, False, True)]
     while stack:
-        node, leaving = stack.pop()
+        node, leaving, shows = stack.pop()
         frame = frames[-1]
         if isinstance(node, str):
-            if tables and frame is tables[-1][1] and not node.strip():
+            if not shows or tables and frame is tables[-1][1] and not node.strip():
                 continue  # space between rows and cells
             frame.text(node, pre > 0)
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            laid_out, own = sheet.look(node)
+            if not laid_out:
                 continue
+            shows = own == "visible" if own in ("visible", "hidden", "collapse") else shows
             if tag == "br":
                 frame.flush(force=True)
                 continue
             if tag in ("input", "img"):
                 shown = node.attrs.get("value" if tag == "input" else "alt", "")
-                if shown and node.attrs.get("type", "").lower() not in ("checkbox", "radio", "password", "image", "file"):
+                if shows and shown and node.attrs.get("type", "").lower() not in ("checkbox", "radio", "password", "image", "file"):
                     frame.text(shown, False)
                 continue
             if tag == "wbr":
                 continue
             if tag == "hr":
                 frame.block(True)
-                frame.put("---")
+                if shows:
+                    frame.put("---")
                 frame.blank = True
                 continue
             if tag in VOID:
                 continue
-            stack.append((node, True))
+            stack.append((node, True, shows))
             children = node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
@@ -286,30 +395,32 @@ def render(html: str | None) -> str:
                 pre += 1
                 if children and isinstance(children[0], str) and children[0].startswith("\n"):
                     children = [children[0][1:], *children[1:]]
-            elif tag == "q":
+            elif tag == "q" and shows:
                 frame.text('"', False)
-            stack.extend((c, False) for c in reversed(children))
+            stack.extend((c, False, shows) for c in reversed(children))
             continue
         if tag in ("pre", "xmp", "textarea"):
             pre -= 1
             if frame.inline:
                 frame.flush(keep=True)
         if tag == "q":
-            frame.text('"', False)
+            if shows:
+                frame.text('"', False)
         elif tag == "table" and tables:
             rows, _ = tables.pop()
             frame.flush()
             for line in aligned([r for r in rows if r]):
                 frame.put(line)
-            frame.blank = True
+            frame.blank |= bool(frame.lines)
         elif tag in ("td", "th") and tables and len(frames) > 1:
             frame.flush()
             frames.pop()
-            span = node.attrs.get("colspan", "1")
             if not tables[-1][0]:
                 tables[-1][0].append([])
-            cell = " ".join(x.strip() for x in frame.lines if x.strip())
-            tables[-1][0][-1].append((cell, min(1000, int(span)) if span.isdigit() and int(span) else 1))
+            lines = [x.rstrip() for x in frame.lines]
+            while lines and not lines[-1]:
+                lines.pop()
+            tables[-1][0][-1].append((lines, _span(node, "colspan", 1000), _span(node, "rowspan", 65534)))
         elif tag in ("ul", "ol", "menu", "dir") and lists:
             frame.block(False)
             lists.pop()
@@ -341,8 +452,9 @@ def render(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
-    """Adds the visible text of each page. Null pages give an empty text, repeated rows equal texts; a column of the
-    new name is replaced."""
+    """Adds the visible text of each page, however long or deeply nested it is. Null and empty pages give an empty text,
+    repeated rows equal texts, an empty table an empty one. A column of the new name is replaced, all others stay
+    whatever their names."""
 
     small_batches(pages.sparkSession)
 
@@ -350,4 +462,4 @@ def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFra
     def run(column):
         return column.map(render)
 
-    return pages.withColumn(into, run(F.col(html).cast("string")))
+    return pages.withColumn(into, run(col(html).cast("string")))

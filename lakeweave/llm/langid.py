@@ -1,7 +1,6 @@
 """Language identification by words first, character n-grams where a word is unknown.
 
-Training counts words by language over a bounded sample of labelled rows and keeps each language's most frequent
-words. A known word adds its log frequency in each language. An unknown one adds the mean over its known character
+Training counts all words by language over a bounded sample of labelled rows. A known word adds its log frequency in each language. An unknown one adds the mean over its known character
 n-grams of the longest length that has any, from NGRAM letters (with word ends) down to one.
 """
 
@@ -14,13 +13,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import small_batches
+from lakeweave.llm.common import col, fresh, small_batches, without
 
-#: Rows of each language in the sample (about as many), words kept for each language, longest n-gram.
-SAMPLE_ROWS, WORDS_KEPT, NGRAM = 1500, 20_000, 5
+#: Rows of each language in the sample (about as many), longest n-gram.
+SAMPLE_ROWS, NGRAM = 1000, 5
 MEMO_WORDS = 400_000
 UNKNOWN = "und"
 
@@ -102,7 +101,9 @@ def train(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "
     """Learns from a sample of the rows that hold text and language and satisfy learn_from.
 
     The sample takes rows by a hash of key, so that each language gets about SAMPLE_ROWS; the words of the sample are
-    counted on the executors, and what comes to the driver is at most WORDS_KEPT words for each language.
+    counted on the executors, and what comes to the driver are the distinct words of the sample, as long as it is bounded.
+    Ties need no rule: every word of the sample is known, and of languages that score alike the first by name is chosen.
+    Null texts and languages teach nothing; repeated rows count as often as they occur; without any row nothing is known.
     """
     rows = docs.filter(learn_from & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -121,10 +122,8 @@ def train(docs: DataFrame, learn_from: Column, text: str = "text", lang: str = "
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(ns, pa.int64())], names=["lang", "word", "n"])
 
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    kept = counted.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= WORDS_KEPT)
     counts: dict[str, dict[str, int]] = {lang_: {} for lang_ in sizes}
-    for lang_, word, n in kept.select("lang", "word", "n").toPandas().itertuples(index=False):
+    for lang_, word, n in counted.select("lang", "word", "n").toPandas().sort_values(["lang", "word"]).itertuples(index=False):
         counts[lang_][word] = int(n)
     return Model({k: v for k, v in counts.items() if v})
 
@@ -136,7 +135,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Columns of the new names are replaced; repeated rows get equal answers; an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS_KEPT words for each language
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # the words of a bounded sample
 
     @F.pandas_udf("lang_pred string, score double")
     def run(column):
@@ -146,5 +145,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             _WORKER.update(model=shipped.value, scorer=Scorer(shipped.value))
         return pd.DataFrame([_WORKER["scorer"].score(t) for t in column], columns=["lang_pred", "score"])
 
-    scored = docs.withColumn("__language", run(F.col(text).cast("string")))
-    return scored.withColumns({"lang_pred": F.col("__language.lang_pred"), "score": F.col("__language.score")}).drop("__language")
+    name = fresh(docs, "language")[0]
+    scored = docs.withColumn(name, run(col(text).cast("string")))
+    kept = (col(c) for c in without(docs, "lang_pred", "score").columns)
+    return scored.select(*kept, F.col(f"{name}.lang_pred").alias("lang_pred"), F.col(f"{name}.score").alias("score"))

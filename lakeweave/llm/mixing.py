@@ -66,6 +66,8 @@ def train(docs: DataFrame, labelled: DataFrame, key: str, text: str) -> dict[str
     labelled = labelled.filter("key is not null and domain is not null").dropDuplicates(["key", "domain"])
     n = labelled.count()
     sample = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < min(1.0, SAMPLE_ROWS / max(1, n)) * 1_000_003)
+    if sample.count() <= 2 * SAMPLE_ROWS:  # so many keys and names of domains
+        sample = F.broadcast(sample)
     rows = docs.select(col(key).alias("key"), col(text).cast("string").alias("text")).join(sample, "key").filter(F.btrim("text", F.lit(_SPACES)) != "").select("domain", _buckets(F.col("text")).alias("b"))
     tokens = rows.select("domain", (F.lit(1.0) / F.size("b")).alias("w"), F.explode("b").alias("b"))
     share = tokens.groupBy("domain", "b").agg(F.sum("w").alias("w")).collect()

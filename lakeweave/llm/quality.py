@@ -10,6 +10,7 @@ take out texts that are unlike their language, not the tail of ordinary ones.
 from __future__ import annotations
 
 import array
+import hashlib
 import math
 import re
 from collections import Counter
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm.bpe import read_ranks
-from lakeweave.llm.common import WORD, Stages
+from lakeweave.llm.common import WORD, Stages, release
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -30,6 +31,9 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 REACH, SHORT = 3.0, 200
 FLOOR = {"chars_per_piece": 0.04, "chars_per_byte_token": 0.04, "byte_share": 0.02, "entropy_ratio": 0.02}
 MEMO_WORDS = 800_000
+#: Tokens that the norm of the entropy counts at most: beyond so many draws a text's entropy hardly grows any more, and
+#: a norm that grew on would part long texts from short ones of the same language.
+ENTROPY_DRAWS = 512
 
 _WORDS = re.compile(WORD)
 _WORKER: dict = {}
@@ -63,18 +67,18 @@ class Fertility:
                     new.append(word)
         encode, pack = self.encode, array.array
         for word, ids in zip(new, self.piece.encode(new, num_threads=1)):
-            memo[word] = len(encode(" " + word)), pack("H", ids).tobytes()
+            memo[word] = len(encode(" " + word)), pack("I", ids).tobytes()
 
     def measure(self, words: list[str], chars: int) -> tuple[float, float, float, float]:
         if not words:
             return 0.0, 0.0, 0.0, 0.0
         found = [self.memo[w] for w in words]
-        ids = np.frombuffer(b"".join([x[1] for x in found]), np.uint16)
+        ids = np.frombuffer(b"".join([x[1] for x in found]), np.uint32)
         n = len(ids) or 1
-        counts = np.bincount(ids) if n > 4000 else np.unique(ids, return_counts=True)[1]
+        counts = np.bincount(ids.astype(np.int64)) if n > 4000 else np.unique(ids, return_counts=True)[1]
         share = counts[counts > 0] / n
         # the most that n draws could show, so that short texts compare with long ones
-        most = math.log2(min(n, 512)) or 1.0
+        most = math.log2(min(n, ENTROPY_DRAWS)) or 1.0
         entropy = float(-(share * np.log2(share)).sum()) / most
         return chars / n, chars / max(1, sum([x[0] for x in found])), int(self.is_byte[ids].sum()) / n, entropy
 
@@ -138,12 +142,14 @@ def measures(docs: DataFrame, pieces_file: str, ranks_file: str) -> DataFrame:
     """One row for each document with its counts and measures; whole texts, a null text counts as empty."""
     sc = docs.sparkSession.sparkContext
     with open(pieces_file, "rb") as f, open(ranks_file, "rb") as g:
-        data = sc.broadcast((f.read(), g.read()))  # two files of fixed size, under 2 MB
+        both = f.read(), g.read()
+    data, name = sc.broadcast(both), hashlib.sha256(b"".join(hashlib.sha256(x).digest() for x in both)).hexdigest()  # two files of fixed size, under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "fertility" not in _WORKER:
-            _WORKER["fertility"] = Fertility(*data.value)
-        fertility: Fertility = _WORKER["fertility"]
+        if name not in _WORKER:  # one pair of vocabularies at a time
+            _WORKER.clear()
+            _WORKER[name] = Fertility(*data.value)
+        fertility: Fertility = _WORKER[name]
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
@@ -159,6 +165,7 @@ def measures(docs: DataFrame, pieces_file: str, ranks_file: str) -> DataFrame:
                 arrays = [rows.column("doc_id"), pa.array(columns[0], pa.string())]
                 arrays += [pa.array(c, pa.int64()) for c in columns[1:6]] + [pa.array(c, pa.float64()) for c in columns[6:]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, SCHEMA)
 

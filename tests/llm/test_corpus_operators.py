@@ -143,12 +143,13 @@ def test_sentences_are_the_text(text):
 
 
 def mixed(spark):
+    """Domains of one alphabet, told apart by their words alone; a third of the words is common to all."""
     rng = random.Random(6)
-    letters = {"en": "wky", "fr": "éèê", "de": "äöü"}
+    lexicon = {d: ["".join(rng.choice("aeinrst") for _ in range(6)) for _ in range(150)] for d in ("en", "fr", "de", "all")}
     rows = []
     for i in range(300):
         lang = ["en", "en", "en", "fr", "de"][i % 5]
-        words = ["".join(rng.choice("aeinrst" + letters[lang]) for _ in range(6)) for _ in range(rng.randint(20, 60))]
+        words = [rng.choice(lexicon["all" if rng.random() < 0.33 else lang]) for _ in range(rng.randint(20, 60))]
         rows.append((i, " ".join(words), lang))
     return spark.createDataFrame(rows, "doc_id long, text string, lang string")
 
