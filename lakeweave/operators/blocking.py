@@ -51,3 +51,21 @@ def quality(keys: DataFrame, truth: DataFrame) -> DataFrame:
     hit = truth.join(s1, "s1").join(rid, ["rid", "country", "key"]).select("s1", "rid").distinct()
     found = truth.join(hit.withColumn("hit", F.lit(1.0)), ["s1", "rid"], "left").agg(F.count(F.lit(1)).alias("n_true"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
     return found.crossJoin(bound).crossJoin(all_).withColumn("reduction", F.round(1 - F.col("bound") / F.col("possible"), 6))  # three single rows
+
+
+def candidate_quantiles(keys: DataFrame) -> DataFrame:
+    """(n, mean, median, p95, most): candidates of a reference, counted as key mates from block sizes; no pair is formed.
+    A record that shares several keys counts for each."""
+    sizes = keys.dropDuplicates(["country", "key", "entity_id"]).groupBy("country", "key").agg(F.count_if(F.col("src") != "S1").alias("r"))
+    mine = keys.filter("src = 'S1'").select("country", "key", "entity_id").distinct().join(sizes, ["country", "key"]).groupBy("entity_id").agg(F.sum("r").alias("c"))
+    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by c)").cast("long")
+    return mine.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c"), 6).alias("mean"), disc(0.5).alias("median"), disc(0.95).alias("p95"), F.max("c").alias("most"))
+
+
+def recall_by_source(keys: DataFrame, truth: DataFrame) -> DataFrame:
+    """(src, n_true, recall): true pairs (s1, rid) that share a key, by the source of the record."""
+    rid = keys.select(F.col("entity_id").alias("rid"), "country", "key")
+    s1 = keys.select(F.col("entity_id").alias("s1"), "country", "key")
+    hit = truth.join(s1, "s1").join(rid, ["rid", "country", "key"]).select("s1", "rid").distinct().withColumn("hit", F.lit(1.0))
+    found = truth.join(hit, ["s1", "rid"], "left").withColumn("src", F.substring("rid", 1, 2))
+    return found.groupBy("src").agg(F.count(F.lit(1)).alias("n_true"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))

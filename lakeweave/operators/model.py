@@ -42,3 +42,11 @@ def cascade(cheap: PipelineModel, full: PipelineModel, df: DataFrame, cheap_colu
     first = score(cheap, df, cheap_columns, "cheap")
     kept = score(full, first.filter(F.col("cheap") >= least), columns)
     return kept.unionByName(first.filter(F.col("cheap") < least).withColumn("prob", F.lit(0.0))).drop("cheap")
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -37,3 +37,21 @@ def merged(first: DataFrame, second: DataFrame) -> DataFrame:
 def coverage(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     hit = words.join(dictionary.select("tok", F.lit(1.0).alias("hit")), "tok", "left")
     return hit.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("covered"))
+
+
+def names(records: DataFrame, raw: str, key: str, dictionary: DataFrame, into: str = "nb") -> DataFrame:
+    """Adds the normalised name: all scripts folded, look-alike digits mended, and in names that are not ASCII each word
+    replaced by its entry in the learned dictionary (tok, eng). Only words of such names take part in the join; key tells
+    records apart."""
+    other = F.coalesce(F.col(raw).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    plain = T.unleet(T.basic(F.col(raw)))
+    foreign = records.filter(other).withColumn(into, T.unleet(T.basic(T.fold(F.col(raw)), folded=True)))
+    words = foreign.select(key, F.posexplode(F.split(into, " ")).alias("pos", "tok")).join(dictionary.select("tok", "eng"), "tok", "left")
+    words = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("eng", "tok").alias("w")))).alias("ws"))
+    learned = words.select(key, F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias(into))
+    return records.filter(~other).withColumn(into, plain).unionByName(foreign.drop(into).join(learned, key))
+
+
+def native_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs (raw, a, b) those whose raw name is not ASCII: what a dictionary may be learned from."""
+    return pairs.filter(F.col("raw").rlike(r"[^\x00-\x7F]"))

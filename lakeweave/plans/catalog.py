@@ -2,18 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
 from lakeweave.plans import linkage, reporting
-from lakeweave.plans.views import RECORDS, whole, whole_sql
 
 QUERIES: dict = {**linkage.QUERIES, **reporting.QUERIES}
 SQL: dict = {**linkage.SQL, **reporting.SQL}
-
-#: Queries without SQL whose result depends on the records' addresses; of the others their SQL tells.
-_ADDRESSED = {"retrieve_adaptive_merge", "union_recall_grid", "feat_ratios", "translit_skeleton_fill"}
-for _name, _f in list(QUERIES.items()):
-    if _name in _ADDRESSED or RECORDS in SQL.get(_name, "") and re.search(r"\b(ab|num|toks)\b", SQL[_name].replace(RECORDS, "")):
-        QUERIES[f"{_name}_whole"] = whole(_f)
-        if _name in SQL:
-            SQL[f"{_name}_whole"] = whole_sql(SQL[_name])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeweave.functions import strings as S
 from lakeweave.functions import text as T
-from lakeweave.operators import blocking, decide, features, retrieval
+from lakeweave.operators import blocking, decide, features, retrieval, synthesize
 from lakeweave.plans.views import BASIC, CORE, RECORDS, SCORED, records, retrieve_sql, scored, sides, table, words
 
 QUERIES, SQL = {}, {}
@@ -41,7 +41,8 @@ def leading_zero_strip(spark, sf_dir):
     return c.select("c_custkey", T.basic(F.concat_ws(", ", "c_name", "n_name")).alias("a"), F.regexp_replace(T.basic(F.col("c_name")), r"\b0+(\d)", "$1").alias("z"))
 
 
-@query()
+@query("""SELECT c_custkey, c_nationkey||' N Main St, N/A, '||['Ohio','MH','Hauts-de-France'][c_custkey%3+1] raw,
+c_nationkey||[' north main street zsoh',' north main street zsmh',' no main saint zshdf'][c_custkey%3+1] ab FROM customer""")
 def address_normalize(spark, sf_dir):
     """Region codes, abbreviations and cities; the name of the nation stands for the country."""
     c = table(spark, sf_dir, "customer")
@@ -55,15 +56,8 @@ def _case(column: str, values: dict[str, str]) -> str:
     return "CASE " + column + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {column} END"
 
 
-@query(f"SELECT doc_id, array_to_string(list_transform(string_split({BASIC},' ')[1:40], lambda x: {_case('x', T.ABBREVIATIONS)}),' ') e FROM documents")
+@query(f"SELECT doc_id, array_to_string(list_transform(string_split({BASIC},' '), lambda x: {_case('x', T.ABBREVIATIONS)}),' ') e FROM documents")
 def abbrev_expand(spark, sf_dir):
-    w = F.slice(F.split(T.basic(F.col("text")), " "), 1, 40)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(w, lambda x: T.mapped(x, T.mapping(T.ABBREVIATIONS))), " ").alias("e"))
-
-
-@query(SQL["abbrev_expand"].replace("[1:40]", ""))
-def abbrev_expand_whole(spark, sf_dir):
-    """As abbrev_expand, over all words of the text."""
     w = F.split(T.basic(F.col("text")), " ")
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(w, lambda x: T.mapped(x, T.mapping(T.ABBREVIATIONS))), " ").alias("e"))
 
@@ -140,19 +134,43 @@ for _name, _args in {"block_n_rare1": ("nc", 1, False), "block_n_rare2": ("nc",
     SQL[_name] = f"WITH {RECORDS}, {_rare(*_args)} {_PAIRS}"
 
 
-@query(f"WITH {RECORDS}, {_rare('nc', 2, False, 'a')}, {_rare('ab', 2, True, 'b')}, keys AS (SELECT a.entity_id, a.country, a.src, a.key||'|'||b.key AS key FROM a JOIN b USING(entity_id)) {_PAIRS}")
+_NUM = "nullif(regexp_extract(ab,'\\d+'),'')"
+_NUM_KEYS = f"a AS (SELECT entity_id, country, src, {_NUM} AS key FROM recs WHERE {_NUM} IS NOT NULL)"
+_JOINED = "keys AS (SELECT a.entity_id, a.country, a.src, a.key||'|'||b.key AS key FROM a JOIN b USING(entity_id))"
+
+
+@query(f"WITH {RECORDS}, {_rare('nc', 2, False, 'a')}, {_rare('ab', 2, True, 'b')}, {_JOINED} {_PAIRS}")
 def block_compound(spark, sf_dir):
     r = records(spark, sf_dir)
     return blocking.pairs(blocking.compound_keys(blocking.rare_keys(r, "nc", 2), blocking.rare_keys(r, "ab", 2, True)))
 
 
+@query(f"WITH {RECORDS}, {_NUM_KEYS}, {_rare('nc', 2, False, 'b')}, {_JOINED} {_PAIRS}")
+def block_num_n_rare2(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return blocking.pairs(blocking.compound_keys(blocking.exact_keys(r, T.first_match(F.col("ab"), r"\d+")), blocking.rare_keys(r, "nc", 2)))
+
+
+@query(f"WITH {RECORDS}, {_NUM_KEYS}, {_rare('ab', 1, True, 'b')}, {_JOINED} {_PAIRS}")
+def block_num_a_rare1(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return blocking.pairs(blocking.compound_keys(blocking.exact_keys(r, T.first_match(F.col("ab"), r"\d+")), blocking.rare_keys(r, "ab", 1, True)))
+
+
+@query(f"""WITH {RECORDS}, {_rare('nc', 2, False)}, z AS (SELECT country, key, count(*) FILTER (src<>'S1') r FROM keys GROUP BY 1,2), c AS (SELECT entity_id, sum(r)::BIGINT c FROM keys JOIN z USING(country,key) WHERE src='S1' GROUP BY 1)
+SELECT count(*) n, round(avg(c),6) mean, quantile_disc(c,0.5)::BIGINT median, quantile_disc(c,0.95)::BIGINT p95, max(c) most FROM c""")
+def block_candidate_quantiles(spark, sf_dir):
+    return blocking.candidate_quantiles(blocking.rare_keys(records(spark, sf_dir), "nc", 2))
+
+
 _TRUTH = "truth AS (SELECT s.entity_id s1, r.entity_id rid FROM recs s JOIN recs r ON s.nb=r.nb AND s.ab=r.ab AND s.country=r.country WHERE s.src='S1' AND r.src<>'S1')"
 
 
 def _truth(spark, sf_dir):
     """Records of equal name and address stand for true links."""
     s, r = sides(spark, sf_dir)
-    return s.select(F.col("entity_id").alias("s1"), "nb", "ab", "country").join(r.select(F.col("entity_id").alias("rid"), "nb", "ab", "country"), ["nb", "ab", "country"]).select("s1", "rid")
+    key = ["nb", "ab_digest", "country"]
+    return s.select(F.col("entity_id").alias("s1"), *key).join(r.select(F.col("entity_id").alias("rid"), *key), key).select("s1", "rid")
 
 
 @query(f"""WITH {RECORDS}, {_TRUTH}, {_rare('nc', 2, False)},
@@ -193,12 +211,25 @@ def retrieve_trigrams_topk(spark, sf_dir):
     return retrieval.retrieve(g(r), g(s), 5, 100, 8)
 
 
-@query()
+_SKELETON = f"array_to_string(list_transform(list_filter(string_split(nb,' '), lambda x: length(x)>=3 AND regexp_full_match(x,'[a-z]+')), lambda x: 'zk'||{_SKELETON_WORD}),' ')"
+_STOKS = RECORDS + f", stoks AS (SELECT country, entity_id, src, unnest(list_distinct(list_filter(string_split(nc||' '||{_SKELETON}||' '||ab,' '), lambda x: length(x)>=2))) tok FROM recs)"
+_FIRST = retrieve_sql(5, 200, 5, _STOKS, "stoks") + " SELECT * FROM cands"
+_WEAK = f", top AS (SELECT rid, score FROM ({_FIRST}) WHERE rank=1), weak AS (SELECT entity_id FROM recs LEFT JOIN top ON rid=entity_id WHERE src='S1' OR ab='' OR coalesce(score,0)<0.6), wgrams AS (SELECT * FROM grams WHERE entity_id IN (SELECT entity_id FROM weak))"
+_SECOND = retrieve_sql(5, 100, 8, _GRAMS + _WEAK, "wgrams") + " SELECT * FROM cands"
+
+
+@query(f"SELECT coalesce(a.rid,b.rid) rid, coalesce(a.s1,b.s1) s1, coalesce(a.score,0) p_score, coalesce(a.rank-1,99)::TINYINT p_rank, coalesce(b.score,0) f_score, coalesce(b.rank-1,99)::TINYINT f_rank FROM ({_FIRST}) a FULL JOIN ({_SECOND}) b ON a.rid=b.rid AND a.s1=b.s1")
 def retrieve_adaptive_merge(spark, sf_dir):
     s, r = (df.withColumn("sk", T.skeleton(F.col("nb"))) for df in sides(spark, sf_dir))
     return retrieval.candidates(r, s, 5, 5, 0.6, 200, 100)
 
 
+@query(f"""WITH {RECORDS}, {_TRUTH}, {_rare('nc', 2, False)}, h AS (SELECT DISTINCT t.s1, t.rid FROM truth t JOIN keys a ON a.entity_id=t.s1 JOIN keys k ON k.entity_id=t.rid AND k.key=a.key AND k.country=a.country)
+SELECT substr(rid,1,2) src, count(*) n_true, round(avg(CASE WHEN h.s1 IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END),6) recall FROM truth LEFT JOIN h USING(s1,rid) GROUP BY 1""")
+def block_recall_by_source(spark, sf_dir):
+    return blocking.recall_by_source(blocking.rare_keys(records(spark, sf_dir), "nc", 2), _truth(spark, sf_dir))
+
+
 @query(retrieve_sql(50, 200, 5) + f", {_TRUTH} SELECT count(*) n, " + ", ".join(f"round(avg(CASE WHEN rank<={k} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END),6) recall_{k}" for k in (1, 5, 10, 20, 50)) + " FROM truth LEFT JOIN cands USING(rid,s1)")
 def recall_at_k(spark, sf_dir):
     s, r = sides(spark, sf_dir)
@@ -213,7 +244,7 @@ def miss_profile(spark, sf_dir):
     return t.groupBy("country", "src").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("hit", F.lit(1.0))), 6).alias("missed"))
 
 
-def _overlap_sql(tokens: str, name: str) -> str:
+def _overlap_sql(tokens: str, name: str, with_nq: bool) -> str:
     return SCORED + f""",
 ft AS (SELECT DISTINCT entity_id, country, src, unnest({tokens}) t FROM recs),
 fn AS (SELECT country, count(*) n FROM recs WHERE src='S1' GROUP BY 1),
@@ -221,39 +252,56 @@ fdf AS (SELECT country, t, count(*) df FROM ft WHERE src='S1' GROUP BY 1,2),
 fw AS (SELECT entity_id, t, ln((n+1)::DOUBLE/(coalesce(df,0)+1))*ln((n+1)::DOUBLE/(coalesce(df,0)+1)) w FROM ft LEFT JOIN fdf USING(country,t) JOIN fn USING(country)),
 tot AS (SELECT entity_id, sum(w) w, count(*) n FROM fw GROUP BY 1),
 sh AS (SELECT c.rid, c.s1, sum(a.w) w, count(*) n FROM cands c JOIN fw a ON a.entity_id=c.rid JOIN fw b ON b.entity_id=c.s1 AND b.t=a.t GROUP BY 1,2),
-j AS (SELECT c.rid, c.s1, q.w q, d.w d, coalesce(sh.w,0) b, coalesce(sh.n,0) ns, q.n qn, d.n dn FROM cands c LEFT JOIN tot q ON q.entity_id=c.rid LEFT JOIN tot d ON d.entity_id=c.s1 LEFT JOIN sh ON sh.rid=c.rid AND sh.s1=c.s1)
-SELECT rid, s1, CASE WHEN q>0 AND d IS NOT NULL THEN round(b/q,6) END {name}_cq, CASE WHEN d>0 AND q IS NOT NULL THEN round(b/d,6) END {name}_cd, CASE WHEN q*d>0 THEN round(b/sqrt(q*d),6) END {name}_cos,
-CASE WHEN q IS NOT NULL AND d IS NOT NULL THEN ns END {name}_ns, CASE WHEN q IS NOT NULL AND d IS NOT NULL THEN qn-ns END {name}_extra, CASE WHEN q IS NOT NULL AND d IS NOT NULL THEN dn-ns END {name}_miss FROM j"""
+j AS (SELECT c.rid, c.s1, coalesce(q.w,0) wq, coalesce(d.w,0) wd, coalesce(sh.w,0) ws, coalesce(sh.n,0) ns, coalesce(q.n,0) nq, coalesce(d.n,0) nd FROM cands c LEFT JOIN tot q ON q.entity_id=c.rid LEFT JOIN tot d ON d.entity_id=c.s1 LEFT JOIN sh ON sh.rid=c.rid AND sh.s1=c.s1)
+SELECT rid, s1, CASE WHEN wq>0 THEN round(ws/wq,6) END {name}_cq, CASE WHEN wd>0 THEN round(ws/wd,6) END {name}_cd, CASE WHEN wq>0 AND wd>0 THEN round(ws/sqrt(wq*wd),6) END {name}_cos,
+ns {name}_ns, nq-ns {name}_extra, nd-ns {name}_miss{f", nq {name}_nq" if with_nq else ""} FROM j"""
 
 
-def _overlap(tokens, name):
-    def run(spark, sf_dir):
-        s, r = sides(spark, sf_dir)
-        pairs = retrieval.retrieve(words(r), words(s), 5, 200, 5).select("rid", "s1")
-        return features.overlap(pairs, features.weighted(r, tokens(), s, tokens()), features.weighted(s, tokens(), s, tokens()), name)
+#: Spaces of tokens: name -> (tokens of a record, their SQL, whether the query's number of them is a feature).
+SPACES = {
+    "nw": (lambda: T.tokens(F.col("nc")), "list_distinct(list_filter(string_split(nc,' '), lambda x: length(x)>=2))", True),
+    "sk": (lambda: T.tokens(T.skeleton(F.col("nb"))), f"list_distinct(string_split(nullif({_SKELETON},''),' '))", False),
+    "n3": (lambda: T.trigrams(F.col("nc")), "CASE WHEN length(replace(nc,' ',''))>=3 THEN list_distinct(list_transform(range(1, length(replace(nc,' ',''))-1), lambda i: substring(replace(nc,' ',''), i::INT, 3))) ELSE [] END", False),
+    "aw": (lambda: T.tokens(F.col("ab")), "list_distinct(list_filter(string_split(ab,' '), lambda x: length(x)>=2))", True),
+    "num": (lambda: T.tokens(F.col("num")), "list_distinct(list_filter(string_split(num,' '), lambda x: length(x)>=2))", True),
+}
 
-    return run
 
+def overlap_in(spark, sf_dir, name: str, pairs: DataFrame) -> DataFrame:
+    s, r = sides(spark, sf_dir)
+    tokens, _, with_nq = SPACES[name]
+    return features.overlap(pairs, features.weighted(r, tokens(), s, tokens()), features.weighted(s, tokens(), s, tokens()), name, with_nq)
 
-for _name, _short, _tokens, _sql in (
-    ("feat_idf_overlap_words", "nw", lambda: T.tokens(F.col("nc")), "list_distinct(list_filter(string_split(nc,' '), lambda x: length(x)>=2))"),
-    ("feat_idf_overlap_address", "aw", lambda: T.tokens(F.col("ab")), "list_distinct(list_filter(string_split(ab,' '), lambda x: length(x)>=2))"),
-    ("feat_idf_overlap_trigrams", "n3", lambda: T.trigrams(F.col("nc")), "CASE WHEN length(replace(nc,' ',''))>=3 THEN list_distinct(list_transform(range(1, length(replace(nc,' ',''))-1), lambda i: substring(replace(nc,' ',''), i::INT, 3))) ELSE [] END"),
-    ("feat_idf_overlap_numbers", "num", lambda: T.tokens(F.col("num")), "list_distinct(list_filter(string_split(num,' '), lambda x: length(x)>=2))"),
-):
-    QUERIES[_name] = _overlap(_tokens, _short)
-    SQL[_name] = _overlap_sql(_sql, _short)
 
+for _name, _short in {"feat_idf_overlap_words": "nw", "feat_idf_overlap_skeletons": "sk", "feat_idf_overlap_trigrams": "n3", "feat_idf_overlap_address": "aw", "feat_idf_overlap_numbers": "num"}.items():
+    QUERIES[_name] = lambda spark, sf_dir, short=_short: overlap_in(spark, sf_dir, short, scored(spark, sf_dir).select("rid", "s1"))
+    SQL[_name] = _overlap_sql(SPACES[_short][1], _short, SPACES[_short][2])
 
-@query()
+
+_FITS = "({a}.l<{b}.l AND ({b}.v%(10::HUGEINT**{a}.l)::HUGEINT={a}.v OR {b}.v//(10::HUGEINT**greatest({b}.l-{a}.l,0))::HUGEINT={a}.v))"
+_NUMBERS = """WITH t AS (SELECT c_custkey k, [c_custkey::VARCHAR, (c_custkey*7%1000)::VARCHAR, '0'||c_nationkey, CASE WHEN c_custkey%5=0 THEN '123456789012345678901234' WHEN c_custkey%5=1 THEN '12345' END] n FROM customer),
+u AS (SELECT k, CASE WHEN k%17=0 THEN [] ELSE list_filter(n, lambda x: x IS NOT NULL) END n FROM t),
+v AS (SELECT a.k, b.k k2, a.n qs, b.n ds FROM u a JOIN u b ON b.k=a.k+11),
+qe AS (SELECT k, i, substr(qs[i],1,15)::BIGINT v, least(length(qs[i]),15) l FROM (SELECT k, qs, unnest(range(1,len(qs)+1)) i FROM v)),
+de AS (SELECT k, i, substr(ds[i],1,15)::BIGINT v, least(length(ds[i]),15) l FROM (SELECT k, ds, unnest(range(1,len(ds)+1)) i FROM v)),
+lq AS (SELECT * FROM qe WHERE NOT EXISTS (FROM de WHERE de.k=qe.k AND de.v=qe.v)), ld AS (SELECT * FROM de WHERE NOT EXISTS (FROM qe WHERE de.k=qe.k AND de.v=qe.v)),
+m AS (SELECT lq.k, lq.i, count(ld.v) free, coalesce(bool_or(FITS_AB OR FITS_BA),false) cut, min(abs(lq.v-ld.v)) diff FROM lq LEFT JOIN ld ON ld.k=lq.k GROUP BY 1,2),
+s AS (SELECT k, count(*) FILTER (free>0 AND cut) tr, count(*) FILTER (free>0 AND NOT cut AND diff<=20) ne, count(*) FILTER (free>0 AND NOT cut AND diff>20) ch, count(*) FILTER (free=0) ad, min(diff) FILTER (free>0 AND NOT cut) md FROM m GROUP BY 1),
+f AS (SELECT v.k, len(qs) nq, len(ds) nd, s.*, (SELECT count(*) FROM ld WHERE ld.k=v.k) mi, (SELECT arg_min(v,i) FROM qe WHERE qe.k=v.k) q1, (SELECT arg_min(v,i) FROM de WHERE de.k=v.k) d1, (SELECT max(v) FROM qe WHERE qe.k=v.k) qm, (SELECT max(v) FROM de WHERE de.k=v.k) dm FROM v LEFT JOIN s ON s.k=v.k)
+SELECT k c_custkey, CASE WHEN nq+nd>0 THEN coalesce(tr,0) END nm_trunc, CASE WHEN nq+nd>0 THEN coalesce(ne,0) END nm_near, CASE WHEN nq+nd>0 THEN coalesce(ch,0) END nm_changed, CASE WHEN nq+nd>0 THEN coalesce(ad,0) END nm_added, CASE WHEN nq+nd>0 THEN mi END nm_miss, md nm_mindiff,
+CASE WHEN nq>0 AND nd>0 THEN (q1=d1)::INT END nm_first_eq, CASE WHEN nq>0 AND nd>0 THEN (qm=dm)::INT END nm_max_eq FROM f""".replace("FITS_AB", _FITS.format(a="lq", b="ld")).replace("FITS_BA", _FITS.format(a="ld", b="lq"))
+
+
+@query(_NUMBERS)
 def feat_number_relations(spark, sf_dir):
-    """Of a customer's numbers and those of the customer 11 keys on, perturbed by dropping digits."""
+    """Of a customer's numbers and those of the customer 11 keys on; some have none, some one of 24 digits."""
     c = table(spark, sf_dir, "customer")
-    text = lambda k: F.array(F.col(k).cast("string"), (F.col(k) * 7 % 1000).cast("string"), F.col("c_nationkey").cast("string"))
-    a = c.select("c_custkey", text("c_custkey").alias("q"), (F.col("c_custkey") + 11).alias("k"))
-    b = c.select(F.col("c_custkey").alias("k"), text("c_custkey").alias("d"))
-    p = a.join(b, "k")
-    return p.select("c_custkey", *(v.alias(k) for k, v in features.number_relations(F.col("q"), F.col("d")).items()))
+    key = F.col("c_custkey")
+    extra = F.when(key % 5 == 0, F.lit("123456789012345678901234")).when(key % 5 == 1, F.lit("12345"))
+    own = F.array_compact(F.array(key.cast("string"), (key * 7 % 1000).cast("string"), F.concat(F.lit("0"), F.col("c_nationkey").cast("string")), extra))
+    numbers = F.when(key % 17 == 0, F.array().cast("array<string>")).otherwise(own)
+    a, b = c.select("c_custkey", numbers.alias("q"), (key + 11).alias("k")), c.select(key.alias("k"), numbers.alias("d"))
+    return a.join(b, "k").select("c_custkey", *(v.alias(k) for k, v in features.number_relations(F.col("q"), F.col("d")).items()))
 
 
 @query(SCORED + " SELECT rid, s1, round(jaro_winkler_similarity(nc, s1_nc),6) n_jw, levenshtein(nc, s1_nc) lev FROM scored")
@@ -276,23 +324,34 @@ def feat_jaccard_tokens(spark, sf_dir):
     return scored(spark, sf_dir).select("rid", "s1", F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 6).alias("jac"))
 
 
-@query("SELECT p.page_id, regexp_matches(url, '(?i)(\\.com|\\.in|\\.net|\\.org|\\.fr|\\.co\\b|www\\.)') q_domain, regexp_matches(html, '[^\\x00-\\x7F]') q_nonascii, length(url) q_rawlen FROM pages p")
+# Patterns of a name that is a domain, and of one that gives another name.
+DOMAIN = r"(?i)(\.com|www\.|\.in\b|\.net|\.org|\.fr\b)"
+ALIAS = r"(?i)\b(dba|d/b/a|d\.b\.a|formerly|f/k/a|fka|aka|a/k/a|known as|doing business as)\b"
+
+
+@query("SELECT p.page_id, regexp_matches(url, '(?i)(\\.com|www\\.|\\.in\\b|\\.net|\\.org|\\.fr\\b)') q_domain, regexp_matches(html, '(?i)\\b(dba|d/b/a|d\\.b\\.a|formerly|f/k/a|fka|aka|a/k/a|known as|doing business as)\\b') q_alias, regexp_matches(html, '[^\\x00-\\x7F]') q_nonascii, length(url) q_rawlen FROM pages p")
 def feat_flags(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.col("url").rlike(r"(?i)(\.com|\.in|\.net|\.org|\.fr|\.co\b|www\.)").alias("q_domain"), F.col("html").rlike(r"[^\x00-\x7F]").alias("q_nonascii"), F.char_length("url").cast("long").alias("q_rawlen"))
+    return p.select("page_id", F.col("url").rlike(DOMAIN).alias("q_domain"), F.col("html").rlike(ALIAS).alias("q_alias"), F.col("html").rlike(r"[^\x00-\x7F]").alias("q_nonascii"), F.char_length("url").cast("long").alias("q_rawlen"))
+
+
+_SK = lambda c: _SKELETON.replace("nb", c)
 
 
-@query(SCORED + " SELECT rid, s1, (nc=s1_nc)::INT n_eq, (replace(nc,' ','')=replace(s1_nc,' ',''))::INT nns_eq, (ab='')::INT q_noaddr, (rid LIKE 'S3%')::INT is_s3 FROM scored")
+@query(SCORED + f" SELECT rid, s1, (nc=s1_nc)::INT n_eq, (replace(nc,' ','')=replace(s1_nc,' ',''))::INT nns_eq, ({_SK('nb')}={_SK('s1_nb')})::INT sk_eq, (ab='')::INT q_noaddr, (rid LIKE 'S3%')::INT is_s3 FROM scored")
 def feat_equalities(spark, sf_dir):
     i = lambda c: c.cast("int")
     ns = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    return scored(spark, sf_dir).select("rid", "s1", i(F.col("nc") == F.col("s1_nc")).alias("n_eq"), i(ns("nc") == ns("s1_nc")).alias("nns_eq"), i(F.col("ab") == "").alias("q_noaddr"), i(F.col("rid").startswith("S3")).alias("is_s3"))
+    p = scored(spark, sf_dir)
+    return p.select("rid", "s1", i(F.col("nc") == F.col("s1_nc")).alias("n_eq"), i(ns("nc") == ns("s1_nc")).alias("nns_eq"), i(T.skeleton(F.col("nb")) == T.skeleton(F.col("s1_nb"))).alias("sk_eq"), i(F.col("noaddr")).alias("q_noaddr"), i(F.col("rid").startswith("S3")).alias("is_s3"))
 
 
 @query(f"WITH {RECORDS} SELECT entity_id, count(*) OVER (PARTITION BY country, nc) s_nc_dup, count(*) OVER (PARTITION BY country, ab) s_ab_dup FROM recs WHERE src='S1'")
 def feat_ambiguity_counts(spark, sf_dir):
-    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy("country", c))
-    return sides(spark, sf_dir)[0].select("entity_id", n("nc").alias("s_nc_dup"), n("ab").alias("s_ab_dup"))
+    """Counts joined back: a frequent name, or no address at all, is no task of its own."""
+    s = sides(spark, sf_dir)[0].select("entity_id", "country", "nc", "ab_digest")
+    n = lambda c, to: s.groupBy("country", c).agg(F.count(F.lit(1)).alias(to))
+    return s.join(n("nc", "s_nc_dup"), ["country", "nc"]).join(n("ab_digest", "s_ab_dup"), ["country", "ab_digest"]).select("entity_id", "s_nc_dup", "s_ab_dup")
 
 
 @query(SCORED + " SELECT rid, s1, score, count(*) OVER w n_cand, round(score-max(score) OVER w,6) score_gapmax, rank() OVER (PARTITION BY rid ORDER BY score DESC NULLS LAST) score_rk FROM scored WINDOW w AS (PARTITION BY rid)")
@@ -300,31 +359,49 @@ def feat_query_context(spark, sf_dir):
     return features.query_context(scored(spark, sf_dir).select("rid", "s1", "score"), ["score"])
 
 
-_DIFF = SCORED + """, df0 AS (SELECT rid, s1, (nb=s1_nb AND ab=s1_ab)::INT y, list_distinct(list_filter(string_split(nc,' '), lambda x: length(x)>=2 AND NOT list_contains(list_filter(string_split(s1_nc,' '), lambda z: length(z)>=2), x))) extra FROM scored),
-t AS (SELECT tok, sum(y) pos, count(*) n FROM (SELECT unnest(extra) tok, y FROM df0) GROUP BY 1),
-lo AS (SELECT tok, round(ln((pos+20*0.3)/(n-pos+20*0.7))-ln(0.3/0.7),6) lo, n FROM t)"""
+_ONLY = "list_distinct(list_filter(string_split({a},' '), lambda x: length(x)>=2 AND NOT list_contains(string_split({b},' '), x)))"
+_SIDE = """{s}_t AS (SELECT tok, sum(y) pos, count(*) n FROM (SELECT unnest({s}) tok, y FROM learn) GROUP BY 1),
+{s}_lo AS (SELECT tok, round(CASE WHEN p0>0 AND p0<1 THEN ln((pos+20*p0)/(n-pos+20*(1-p0)))-ln(p0/(1-p0)) END,6) lo_{s}, n n_{s} FROM {s}_t, (SELECT avg(y) p0 FROM learn))"""
+_DIFF = SCORED + f""", {_TRUTH}, one AS (SELECT rid, min(s1) true_s1 FROM truth GROUP BY 1),
+df0 AS (SELECT rid, s1, rank, coalesce(s1=true_s1,false)::INT y, substr(coalesce(true_s1,rid),4)::BIGINT%40 fold, {_ONLY.format(a='nc', b='s1_nc')} extra, {_ONLY.format(a='s1_nc', b='nc')} miss FROM scored LEFT JOIN one USING(rid)),
+learn AS (SELECT * FROM df0 WHERE rank=1 AND fold>=6), {_SIDE.format(s='extra')}, {_SIDE.format(s='miss')}, lo AS (SELECT * FROM extra_lo FULL JOIN miss_lo USING(tok))"""
+_AGG = "{s}_a AS (SELECT rid, s1, min(lo_{s}) te_{s}_min, round(coalesce(sum(lo_{s}),0),6) te_{s}_sum, count(lo_{s}) te_{s}_known FROM (SELECT rid, s1, unnest({s}) tok FROM df0) LEFT JOIN lo USING(tok) GROUP BY 1,2)"
 
 
 def _diffs(spark, sf_dir):
-    p = scored(spark, sf_dir)
-    extra, _ = features.diff_tokens(F.col("nc"), F.col("s1_nc"))
-    return p.select("rid", "s1", ((F.col("nb") == F.col("s1_nb")) & (F.col("ab") == F.col("s1_ab"))).alias("y"), extra.alias("extra"))
+    """Candidate pairs with the name tokens of one side only, the label and the fold of the true link or else the record."""
+    one = _truth(spark, sf_dir).groupBy("rid").agg(F.min("s1").alias("true_s1"))
+    extra, miss = features.diff_tokens(F.col("nc"), F.col("s1_nc"))
+    fold = F.substring(F.coalesce("true_s1", "rid"), 4, 20).cast("bigint") % 40
+    return scored(spark, sf_dir).join(one, "rid", "left").select("rid", "s1", "rank", F.coalesce(F.col("s1") == F.col("true_s1"), F.lit(False)).alias("y"), fold.alias("fold"), extra.alias("extra"), miss.alias("miss"))
+
+
+def _learn(diffs):
+    """First candidates of the folds that neither train nor validate."""
+    return diffs.filter("rank = 1 and fold >= 6")
 
 
 @query(_DIFF + " SELECT * FROM lo")
 def token_logodds_table(spark, sf_dir):
-    return features.log_odds(_diffs(spark, sf_dir), "extra", "y", 0.3)
+    return features.log_odds(_learn(_diffs(spark, sf_dir)))
 
 
-@query(_DIFF + ", e AS (SELECT rid, s1, unnest(extra) tok FROM df0), g AS (SELECT rid, s1, min(lo) mn, round(coalesce(sum(lo),0),6) sm, count(lo) k FROM e LEFT JOIN lo USING(tok) GROUP BY 1,2) SELECT d.rid, d.s1, mn te_extra_min, sm te_extra_sum, k te_extra_known FROM df0 d LEFT JOIN g USING(rid,s1)")
+@query(_DIFF + f", {_AGG.format(s='extra')}, {_AGG.format(s='miss')} SELECT d.rid, d.s1, te_extra_min, te_extra_sum, te_extra_known, te_miss_min, te_miss_sum, te_miss_known FROM df0 d LEFT JOIN extra_a USING(rid,s1) LEFT JOIN miss_a USING(rid,s1)")
 def token_logodds_features(spark, sf_dir):
     d = _diffs(spark, sf_dir)
-    return features.log_odds_features(d, "extra", features.log_odds(d, "extra", "y", 0.3), "extra")
+    return features.log_odds_features(d, features.log_odds(_learn(d)))
+
+
+@query(_DIFF + " SELECT tok, lo_extra, n_extra FROM lo WHERE n_extra>5 ORDER BY lo_extra, tok LIMIT 25")
+def token_logodds_least(spark, sf_dir):
+    """The tokens that speak most against a match; here of those met more than five times."""
+    return features.least_match_like(features.log_odds(_learn(_diffs(spark, sf_dir))), "extra", 5)
 
 
-@query(SCORED + """, b AS (SELECT * FROM scored WHERE rank=1), g AS (SELECT s1, count(*) c FROM b GROUP BY 1), gn AS (SELECT s1, num, count(*) c FROM b GROUP BY 1,2), gc AS (SELECT s1, nc, count(*) c FROM b GROUP BY 1,2),
-x AS (SELECT p.rid, p.s1, (rank=1)::INT i, (p.num=s1_num)::INT en, (p.nc=s1_nc)::INT ec, coalesce(g.c,0) g, coalesce(a.c,0) nt, coalesce(a2.c,0) n1, coalesce(c.c,0) ct, coalesce(c2.c,0) c1 FROM scored p LEFT JOIN g ON g.s1=p.s1 LEFT JOIN gn a ON a.s1=p.s1 AND a.num=p.num LEFT JOIN gn a2 ON a2.s1=p.s1 AND a2.num=p.s1_num LEFT JOIN gc c ON c.s1=p.s1 AND c.nc=p.nc LEFT JOIN gc c2 ON c2.s1=p.s1 AND c2.nc=p.s1_nc)
-SELECT rid, s1, g-i g_n, nt-i g_num_twin, n1-en*i g_num_s1, ct-i g_nc_twin, c1-ec*i g_nc_s1, en q_num_eq_s1, g-nt g_rival, round((nt-i)::DOUBLE/greatest(g-i,1),6) g_num_twin_frac, round((n1-en*i)::DOUBLE/greatest(g-i,1),6) g_num_s1_frac FROM x""")
+@query(SCORED + """, b AS (SELECT * FROM scored WHERE rank=1), g AS (SELECT s1, count(*) c FROM b GROUP BY 1), gn AS (SELECT s1, nset, count(*) c FROM b GROUP BY 1,2), gc AS (SELECT s1, nc, count(*) c FROM b GROUP BY 1,2),
+x AS (SELECT p.rid, p.s1, p.nset, p.s1_nset, (rank=1)::INT i, (p.nset=p.s1_nset)::INT en, (p.nc=s1_nc)::INT ec, coalesce(g.c,0) g, coalesce(a.c,0) nt, coalesce(a2.c,0) n1, coalesce(c.c,0) ct, coalesce(c2.c,0) c1 FROM scored p LEFT JOIN g ON g.s1=p.s1 LEFT JOIN gn a ON a.s1=p.s1 AND a.nset=p.nset LEFT JOIN gn a2 ON a2.s1=p.s1 AND a2.nset=p.s1_nset LEFT JOIN gc c ON c.s1=p.s1 AND c.nc=p.nc LEFT JOIN gc c2 ON c2.s1=p.s1 AND c2.nc=p.s1_nc),
+y AS (SELECT rid, s1, g-i g_n, CASE WHEN nset<>'' THEN nt-i END g_num_twin, CASE WHEN s1_nset<>'' THEN n1-en*i END g_num_s1, ct-i g_nc_twin, c1-ec*i g_nc_s1, CASE WHEN nset<>'' AND s1_nset<>'' THEN en END q_num_eq_s1 FROM x)
+SELECT *, CASE WHEN q_num_eq_s1=0 AND g_num_twin>0 THEN 1 ELSE 0 END g_rival, round(g_num_twin::DOUBLE/(g_n+1),6) g_num_twin_frac, round(g_num_s1::DOUBLE/(g_n+1),6) g_num_s1_frac FROM y""")
 def group_features(spark, sf_dir):
     return features.group_features(scored(spark, sf_dir))
 
@@ -352,14 +429,14 @@ def best_with_runnerup(spark, sf_dir):
     return decide.best_with_runner_up(scored(spark, sf_dir))
 
 
-@query(_BEST + """, z AS (SELECT b.*, s.num, s.s1_num, s.country FROM best b JOIN scored s USING(rid,s1)),
+@query(_BEST + """, z AS (SELECT b.*, s.nset num, s.s1_nset s1_num, s.country FROM best b JOIN scored s USING(rid,s1)),
 c AS (SELECT *, count(*) OVER w size, min(p) OVER w cmin, max(p) OVER w cmax FROM z WINDOW w AS (PARTITION BY s1, num)),
-k AS (SELECT *, p>=0.5 ok, num<>'' AND num<>s1_num AND size>=2 AND cmin<0.3 kill, country IN ('fr') AND p2>=0.5 ambig FROM c),
-bo AS (SELECT *, num=s1_num AND size>=2 AND cmax>=0.95 AND p>=0.5 AND NOT ok AND NOT ambig boost FROM k)
+k AS (SELECT *, p>=0.5 ok, num<>'' AND num<>s1_num AND size>=2 AND cmin<0.05 kill, country IN ('fr') AND p2>=0.3 ambig FROM c),
+bo AS (SELECT *, num<>'' AND num=s1_num AND size>=2 AND cmax>=0.95 AND p>=0.3 AND NOT ok AND NOT ambig boost FROM k)
 SELECT rid, s1, p, p2, kill, ambig, boost, (ok AND NOT kill AND NOT ambig) OR boost selected FROM bo""")
 def cluster_rules(spark, sf_dir):
     p = scored(spark, sf_dir)
-    best = decide.best_with_runner_up(p).join(p.select("rid", "s1", "num", "s1_num", "country"), ["rid", "s1"])
+    best = decide.best_with_runner_up(p).join(p.select("rid", "s1", F.col("nset").alias("num"), F.col("s1_nset").alias("s1_num"), "country"), ["rid", "s1"])
     return decide.decide(best, 0.5, decide.RULES["cluster_mod"], ("fr",)).select("rid", "s1", "p", "p2", "kill", "ambig", "boost", "selected")
 
 
@@ -385,17 +462,25 @@ def candidate_lists(spark, sf_dir):
     return decide.lists(refs, scored(spark, sf_dir), "candidate_entity_ids")
 
 
-@query(SCORED + """, bad AS (SELECT s1, string_agg(rid, ',') l FROM (SELECT s1, rid FROM scored WHERE rank=1 UNION ALL SELECT s1, rid FROM scored WHERE rank=1 AND substr(rid,2,1)='2' UNION ALL SELECT s1, s1 FROM scored WHERE rank=1) GROUP BY 1),
+@query(SCORED + """, b AS (SELECT s1, rid FROM scored WHERE rank=1),
+bad0 AS (SELECT s1, string_agg(rid, ',') l FROM (SELECT * FROM b UNION ALL SELECT * FROM b WHERE rid LIKE 'S2%' UNION ALL SELECT s1, s1 FROM b UNION ALL SELECT s1, 'X9'||substr(rid,3) FROM b WHERE rid LIKE 'S3%' UNION ALL SELECT s1, rid||'00000' FROM b WHERE rid LIKE 'S2%') GROUP BY 1),
+bad AS (SELECT * FROM bad0 UNION ALL SELECT * FROM bad0 WHERE s1 LIKE '%3' UNION ALL SELECT 'S1-none-'||s1, l FROM bad0 WHERE s1 LIKE '%6'),
 i AS (SELECT s1, unnest(string_split(l,',')) rid FROM bad), f AS (SELECT entity_id FROM recs WHERE src='S1')
-SELECT 'duplicate_reference_row' rule, 0::BIGINT n UNION ALL SELECT 'duplicate_id_in_list', count(*) FROM (SELECT 1 FROM i GROUP BY s1, rid HAVING count(*)>1) UNION ALL SELECT 'self_match', count(*) FROM i WHERE rid LIKE 'S1-%' UNION ALL SELECT 'wrong_prefix', 0 UNION ALL SELECT 'unknown_id', 0
-UNION ALL SELECT 'missing_reference', count(*) FROM f WHERE entity_id NOT IN (SELECT s1 FROM bad) UNION ALL SELECT 'extra_reference', 0 UNION ALL SELECT 'not_a_candidate', count(*) FROM i WHERE (s1, rid) NOT IN (SELECT s1, rid FROM cands)""")
+SELECT 'duplicate_reference_row' rule, (SELECT count(*) FROM (SELECT 1 FROM bad GROUP BY s1 HAVING count(*)>1)) n UNION ALL SELECT 'duplicate_id_in_list', count(*) FROM (SELECT 1 FROM i GROUP BY s1, rid HAVING count(*)>1) UNION ALL SELECT 'self_match', count(*) FROM i WHERE rid LIKE 'S1-%'
+UNION ALL SELECT 'wrong_prefix', count(*) FROM i WHERE NOT regexp_matches(rid,'^S[123]-') UNION ALL SELECT 'unknown_id', count(*) FROM i WHERE regexp_matches(rid,'^S[23]-') AND rid NOT IN (SELECT entity_id FROM recs WHERE src<>'S1')
+UNION ALL SELECT 'missing_reference', count(*) FROM f WHERE entity_id NOT IN (SELECT s1 FROM bad) UNION ALL SELECT 'extra_reference', count(*) FROM bad WHERE s1 NOT IN (SELECT entity_id FROM f) UNION ALL SELECT 'not_a_candidate', count(*) FROM i WHERE (s1, rid) NOT IN (SELECT s1, rid FROM cands)""")
 def validate_rules(spark, sf_dir):
-    """A corrupted output: doubled ids, ids of the references themselves, references left out."""
+    """A corrupted output in which every rule is broken: doubled ids and rows, ids of the references themselves, of no
+    source and of no record, references left out and made up."""
     s, r = sides(spark, sf_dir)
     p = scored(spark, sf_dir)
     best = p.filter("rank = 1").select("s1", "rid")
-    rows = best.unionAll(best.filter(F.col("rid").startswith("S2"))).unionAll(best.select("s1", F.col("s1").alias("rid")))
-    out = rows.groupBy("s1").agg(F.array_join(F.collect_list("rid"), ",").alias("matched_entity_ids"))
+    src = lambda x: F.col("rid").startswith(x)
+    ids = F.concat(F.array("rid", "s1"), F.when(src("S2"), F.array(F.col("rid"), F.concat("rid", F.lit("00000")))).otherwise(F.array(F.concat(F.lit("X9"), F.substring("rid", 3, 99)))))
+    out = best.select("s1", F.explode(ids).alias("rid")).groupBy("s1").agg(F.array_join(F.collect_list("rid"), ",").alias("matched_entity_ids"))
+    # a list stands once, or twice, or once more under a name that no reference has
+    names = F.when(F.col("s1").endswith("3"), F.array("s1", "s1")).when(F.col("s1").endswith("6"), F.array("s1", F.concat(F.lit("S1-none-"), "s1"))).otherwise(F.array("s1"))
+    out = out.select(F.explode(names).alias("s1"), "matched_entity_ids")
     return decide.validate(out, s.select(F.col("entity_id").alias("s1")), r.select(F.col("entity_id").alias("rid")), p.select("s1", "rid"))
 
 
@@ -413,19 +498,21 @@ def macro_f05_breakdown(spark, sf_dir):
     return f.groupBy("country", (F.col("nt") == 0).alias("singleton")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f"), 6).alias("f"))
 
 
-@query(SCORED + ", tq AS (SELECT *, substr(rid,4)::BIGINT % 40 fold, md5(rid||'train')<'4' picked FROM scored) SELECT rid, s1, CASE WHEN fold=0 THEN 'val' ELSE 'train' END part FROM tq WHERE fold=0 OR (fold BETWEEN 1 AND 5 AND picked)")
+@query(_DIFF + " SELECT rid, s1, CASE WHEN fold=0 THEN 'val' ELSE 'train' END part, y=1 y FROM df0 WHERE fold=0 OR (fold BETWEEN 1 AND 5 AND md5(rid||'train')<'4')")
 def train_sample(spark, sf_dir):
-    fold = F.substring("rid", 4, 20).cast("bigint") % 40
     picked = F.md5(F.concat("rid", F.lit("train"))) < "4"
-    return scored(spark, sf_dir).filter((fold == 0) | (fold.between(1, 5) & picked)).select("rid", "s1", F.when(fold == 0, "val").otherwise("train").alias("part"))
+    return _diffs(spark, sf_dir).filter((F.col("fold") == 0) | (F.col("fold").between(1, 5) & picked)).select("rid", "s1", F.when(F.col("fold") == 0, "val").otherwise("train").alias("part"), "y")
 
 
-@query()
+@query(f"""WITH a AS ({retrieve_sql(20, 200, 5)} SELECT * FROM cands), b AS ({retrieve_sql(10, 100, 8, _GRAMS, "grams")} SELECT * FROM cands),
+{RECORDS.strip()}, {_TRUTH}, g AS (SELECT kp, kf, tau FROM (SELECT unnest([5,20]) kp), (SELECT unnest([5,10]) kf), (SELECT unnest([0.3,0.6])::DOUBLE tau)),
+u AS (SELECT kp, kf, tau, rid, s1 FROM g JOIN a ON rank<=kp UNION SELECT kp, kf, tau, b.rid, b.s1 FROM g JOIN b ON b.rank<=kf JOIN recs r ON r.entity_id=b.rid LEFT JOIN a t ON t.rid=b.rid AND t.rank=1 WHERE r.ab='' OR coalesce(t.score,0)<tau)
+SELECT kp, kf, tau, round(count(t.s1)::DOUBLE/(SELECT greatest(count(*),1) FROM truth),6) recall, round(count(*)::DOUBLE/(SELECT count(*) FROM recs WHERE src<>'S1'),6) candidates FROM u LEFT JOIN truth t ON t.rid=u.rid AND t.s1=u.s1 GROUP BY 1,2,3""")
 def union_recall_grid(spark, sf_dir):
     s, r = sides(spark, sf_dir)
     g = lambda df: retrieval.features(df, T.trigrams(F.col("nc")))
     first, second = retrieval.retrieve(words(r), words(s), 20, 200, 5), retrieval.retrieve(g(r), g(s), 10, 100, 8)
-    return retrieval.union_grid(first, second, _truth(spark, sf_dir), r.count(), (5, 20), (5, 10), (0.3, 0.6))
+    return retrieval.union_grid(first, second, _truth(spark, sf_dir), r.count(), (5, 20), (5, 10), (0.3, 0.6), r.filter("ab = ''").select(F.col("entity_id").alias("rid")))
 
 
 @query(f"""WITH {RECORDS}, {_rare('nc', 2, False)}, k AS (SELECT country, string_agg(key, '+' ORDER BY key) key, entity_id FROM keys GROUP BY country, entity_id HAVING count(*)=2)
@@ -434,3 +521,55 @@ def rare_token_clusters(spark, sf_dir):
     """Records whose two rarest tokens are the same."""
     k = blocking.rare_keys(records(spark, sf_dir), "nc", 2).groupBy("country", "entity_id").agg(F.array_sort(F.collect_list("key")).alias("ks")).filter(F.size("ks") == 2)
     return k.groupBy("country", F.array_join("ks", "+").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("entity_id").alias("first_id"), F.max("entity_id").alias("last_id")).filter("n > 1")
+
+
+_J = lambda x, y: f"CASE WHEN len(list_distinct(list_concat({x},{y})))>0 THEN round(len(list_intersect({x},{y}))::DOUBLE/len(list_distinct(list_concat({x},{y}))),6) ELSE 0 END"
+_W = lambda c: f"list_filter(string_split({c},' '), lambda x: x<>'')"
+_G = lambda c: f"list_distinct(list_transform(range(1, length({c})+1), lambda i: substring(' '||{c}||' ', i::INT, 3)))"
+
+
+@query(SCORED + f""", e AS (SELECT rid, s1, nb, s1_nb, nc, s1_nc, ab, {_W('nb')} x, {_W('s1_nb')} y, {_W('nc')} cx, {_W('s1_nc')} cy, {_W('ab')} ax, {_W('s1_ab')} ay, {_G('nb')} gx, {_G('s1_nb')} gy, string_split(nullif(num,''),' ') px, string_split(nullif(s1_num,''),' ') py FROM scored)
+SELECT rid, s1, (nb=s1_nb)::INT norm_eq, (nc=s1_nc AND nc<>'')::INT core_eq, (list_sort(list_distinct(x))=list_sort(list_distinct(y)))::INT tokset_eq, {_J('x', 'y')} n_jacc, {_J('cx', 'cy')} n_core_jacc, {_J('gx', 'gy')} n_3g,
+round(1-levenshtein(nb,s1_nb)::DOUBLE/greatest(length(nb),length(s1_nb),1),6) n_lev, {_J('ax', 'ay')} a_jacc, CASE WHEN px IS NOT NULL OR py IS NOT NULL THEN {_J('coalesce(px,[])', 'coalesce(py,[])')} END a_num_eq, (px[1]=py[1])::INT a_first_num_eq, (ab='')::INT b_addr_missing FROM e""")
+def pair_similarities(spark, sf_dir):
+    """Similarities of names and addresses of candidate pairs."""
+    r = records(spark, sf_dir)
+    p = scored(spark, sf_dir).select("rid", "s1", "nb", "s1_nb", "nc", "s1_nc", "num", "s1_num", "noaddr")
+    p = p.join(r.select(F.col("entity_id").alias("rid"), "ab"), "rid").join(r.select(F.col("entity_id").alias("s1"), F.col("ab").alias("s1_ab")), "s1")
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    union = lambda a, b: F.size(F.array_union(a, b))
+    jaccard = lambda a, b: F.when(union(a, b) > 0, F.round(F.size(F.array_intersect(a, b)) / union(a, b), 6)).otherwise(0.0)
+    i = lambda c: c.cast("int")
+    g = lambda c: F.when(F.char_length(c) > 0, T.trigrams(F.col(c), spaces=True)).otherwise(F.array().cast("array<string>"))
+    a, b = words("num"), words("s1_num")
+    return p.select(
+        "rid", "s1", i(F.col("nb") == F.col("s1_nb")).alias("norm_eq"), i((F.col("nc") == F.col("s1_nc")) & (F.col("nc") != "")).alias("core_eq"),
+        i(F.array_sort(F.array_distinct(words("nb"))) == F.array_sort(F.array_distinct(words("s1_nb")))).alias("tokset_eq"), jaccard(words("nb"), words("s1_nb")).alias("n_jacc"), jaccard(words("nc"), words("s1_nc")).alias("n_core_jacc"), jaccard(g("nb"), g("s1_nb")).alias("n_3g"),
+        F.round(1 - F.levenshtein("nb", "s1_nb") / F.greatest(F.char_length("nb"), F.char_length("s1_nb"), F.lit(1)), 6).alias("n_lev"), jaccard(words("ab"), words("s1_ab")).alias("a_jacc"),
+        F.when((F.size(a) > 0) | (F.size(b) > 0), jaccard(a, b)).alias("a_num_eq"), i(F.try_element_at(a, F.lit(1)) == F.try_element_at(b, F.lit(1))).alias("a_first_num_eq"), i(F.col("noaddr")).alias("b_addr_missing"),
+    )
+
+
+def _copies(spark, sf_dir):
+    """References and records whose address begins with a number of their own, as the tables' texts have few; a record
+    shares the number of the reference of the next lower id, and stands for its true record."""
+    n = F.regexp_extract("entity_id", r"(\d+)$", 1).cast("bigint")
+    s, r = ((df.withColumn("ab", F.concat_ws(" ", (F.floor(n / 3) * 7 % 997 + 1).cast("string"), "ab"))) for df in sides(spark, sf_dir))
+    truth = s.select(F.col("entity_id").alias("s1"), F.floor(n / 3).alias("k")).join(r.select(F.col("entity_id").alias("rid"), F.floor(n / 3).alias("k")), "k").select("s1", "rid")
+    return s, r, truth
+
+
+@query()
+def synth_decoy_records(spark, sf_dir):
+    s, r, truth = _copies(spark, sf_dir)
+    return synthesize.decoy_records(s, r, truth)
+
+
+@query()
+def synth_retrieval(spark, sf_dir):
+    """Candidates of decoy records from the real index, and whether the first one is the decoy's parent."""
+    s, r, truth = _copies(spark, sf_dir)
+    d = synthesize.decoy_records(s, r, truth)
+    with_sk = lambda df: df.withColumn("sk", T.skeleton(F.col("nb")))
+    c = retrieval.candidates(with_sk(d), with_sk(s), 5, 5, 0.6, 200, 100)
+    return c.join(d.select(F.col("entity_id").alias("rid"), "parent_s1"), "rid").select("rid", "s1", "p_rank", "f_rank", (F.col("s1") == F.col("parent_s1")).alias("is_parent"))

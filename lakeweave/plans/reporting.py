@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakeweave.functions import text as T
 from lakeweave.operators import model, synthesize, transliterate
+from lakeweave.plans.linkage import _SKELETON_WORD as SKELETON_WORD
 from lakeweave.plans.views import RECORDS, SCORED, records, scored, sides, table
 from lakeweave.sources import tables as IO
 
@@ -33,7 +34,7 @@ FLAGS = {
     "name_domain": ("N", r"(?i)(\.com|\.in|\.net|\.org|\.fr|\.co\b|www\.)"),
     "name_alias_kw": ("N", r"(?i)(f/k/a|\bn[ée]e\b|\bdba\b|d/b/a|\baka\b|a/k/a|formerly|\bt/a\b|trading as|\bex\b)"), "name_id_tag": ("N", r"(?i)\(id:|#\d|\bid\s*\d"),
     "name_prefix_junk": ("N", r"^[^\w\x{0900}-\x{0DFF}\x{00C0}-\x{024F}]"), "name_paren": ("N", r"[()]"), "name_digit": ("N", r"\d"), "name_amp": ("N", r"&"),
-    "name_and": ("N", r"(?i)\b(and|et)\b"), "name_dblspace": ("N", r"  "),
+    "name_and": ("N", r"(?i)\band\b|\bet\b"), "name_dblspace": ("N", r"  "),
     "addr_None_lit": ("A", r"(?i)^none$|^nan$|^null$|^n/?a$"), "addr_NULL_tok": ("A", r"<NULL>|\bNone\b|\bnan\b"), "addr_upper": ("A", r"^[^a-z]*[A-Z][^a-z]*$"),
     "addr_nonascii": ("A", r"[^\x00-\x7F]"), "addr_indic": ("A", r"[\x{0900}-\x{0DFF}]"), "addr_zip5": ("A", r"\b\d{5}(-\d{4})?\b"), "addr_pin6": ("A", r"\b\d{3}\s?\d{3}\b"),
     "addr_starts_digit": ("A", r"^\d"), "addr_lead_zero": ("A", r"(^|[ ,])0\d+"), "addr_hno_prefix": ("A", r"(?i)\b(h\.?\s?no|hn|door no|block|plot no|flat no|no\.?)\b"),
@@ -43,27 +44,30 @@ FLAGS = {
 #: A word's edges by Unicode letters, as engines differ on what \\b takes for a word.
 LEFT, RIGHT = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
 FLAGS = {name: (of, re.sub(r"(^|(?<=[|(])|(?<=\(\?i\)))\\b", lambda m: LEFT, p).replace("\\b", RIGHT)) for name, (of, p) in FLAGS.items()}
-_N = {"N": ("substring(coalesce(text,''),1,40)", lambda: F.substring(F.coalesce("text", F.lit("")), 1, 40)), "A": ("substring(coalesce(text,''),41,80)", lambda: F.substring(F.coalesce("text", F.lit("")), 41, 80))}
-
-
-@query("WITH f AS (SELECT lang, " + ", ".join(f"avg(regexp_matches({_N[w][0]}, '{p}')::INT) {n}" for n, (w, p) in FLAGS.items()) + " FROM documents GROUP BY 1) SELECT lang, flag, round(rate,6) rate FROM f UNPIVOT (rate FOR flag IN (" + ", ".join(FLAGS) + "))")
-def profile_flags(spark, sf_dir):
-    """Share of texts with each pattern, by language, one row for each flag."""
-    d = table(spark, sf_dir, "documents")
-    wide = d.groupBy("lang").agg(*(F.avg(_N[w][1]().rlike(p).cast("int")).alias(n) for n, (w, p) in FLAGS.items()))
-    return wide.unpivot("lang", list(FLAGS), "flag", "rate").withColumn("rate", F.round("rate", 6))
-
-
 #: An end that both engines take for the very end of the text: Java's $ also stands before a last line break.
-_WHOLE = {name: p.replace("$", r"\z") for name, (_, p) in FLAGS.items()}
+FLAGS = {name: (of, p.replace("$", r"\z")) for name, (of, p) in FLAGS.items()}
+#: Flags that are no single pattern: (SQL, column) over the text t.
+_OTHER = {
+    "name_mixed_script": (r"regexp_matches(t,'[A-Za-z]') AND regexp_matches(t,'[\x{0900}-\x{0DFF}]')", lambda t: t.rlike("[A-Za-z]") & t.rlike(r"[\x{0900}-\x{0DFF}]")),
+    "name_legal": (f"regexp_matches(lower(t),'{LEFT}({T.LEGAL}){RIGHT}')", lambda t: F.lower(t).rlike(f"{LEFT}({T.LEGAL}){RIGHT}")),
+    "name_repeat_tok": (
+        "coalesce(list_contains(list_transform(range(1,len(string_split(lower(t),' '))), lambda i: string_split(lower(t),' ')[i]=string_split(lower(t),' ')[i+1] AND string_split(lower(t),' ')[i]<>''), true),false)",
+        lambda t: F.exists(F.zip_with(F.slice(F.split(F.lower(t), " "), 1, F.greatest(F.size(F.split(t, " ")) - 1, F.lit(0))), F.slice(F.split(F.lower(t), " "), 2, 1 << 20), lambda a, b: a.eqNullSafe(b) & (a != "")), lambda x: F.coalesce(x, F.lit(False))),
+    ),
+    "addr_null": ("t=''", lambda t: t == ""),
+}
+#: Means beside the flags.
+_MEANS = {"mean_chars": ("length(t)", lambda t: F.char_length(t)), "mean_words": ("len(string_split(t,' '))", lambda t: F.size(F.split(t, " "))), "mean_commas": ("length(t)-length(replace(t,',',''))", lambda t: F.char_length(t) - F.char_length(F.replace(t, F.lit(","), F.lit("")))), "mean_digits": ("length(t)-length(regexp_replace(t,'[0-9]','','g'))", lambda t: F.char_length(t) - F.char_length(F.regexp_replace(t, "[0-9]", "")))}
+_ALL = [*FLAGS, *_OTHER, *_MEANS]
 
 
-@query("WITH f AS (SELECT lang, " + ", ".join(f"avg(regexp_matches(coalesce(text,''), '{p}')::INT) {n}" for n, p in _WHOLE.items()) + " FROM documents GROUP BY 1) SELECT lang, flag, round(rate,6) rate FROM f UNPIVOT (rate FOR flag IN (" + ", ".join(FLAGS) + "))")
-def profile_flags_whole(spark, sf_dir):
-    """As profile_flags, with every pattern matched on the whole text."""
-    d = table(spark, sf_dir, "documents")
-    wide = d.groupBy("lang").agg(*(F.avg(F.coalesce("text", F.lit("")).rlike(p).cast("int")).alias(n) for n, p in _WHOLE.items()))
-    return wide.unpivot("lang", list(FLAGS), "flag", "rate").withColumn("rate", F.round("rate", 6))
+@query("WITH d AS (SELECT lang, coalesce(text,'') t FROM documents), f AS (SELECT lang, " + ", ".join([*(f"avg(regexp_matches(t, '{p}')::INT) {n}" for n, (_, p) in FLAGS.items()), *(f"avg(({e})::INT) {n}" for n, (e, _) in (_OTHER | _MEANS).items())]) + " FROM d GROUP BY 1) SELECT lang, flag, round(rate,6) rate FROM f UNPIVOT (rate FOR flag IN (" + ", ".join(_ALL) + "))")
+def profile_flags(spark, sf_dir):
+    """Share of texts with each pattern and means of sizes, by language, one row for each; patterns see the whole text."""
+    d = table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("t"))
+    t = F.col("t")
+    wide = d.groupBy("lang").agg(*(F.avg(t.rlike(p).cast("int")).alias(n) for n, (_, p) in FLAGS.items()), *(F.avg(f(t).cast("int")).alias(n) for n, (_, f) in (_OTHER | _MEANS).items()))
+    return wide.unpivot("lang", _ALL, "flag", "rate").withColumn("rate", F.round("rate", 6))
 
 
 @query("SELECT source, count(*) n, count(DISTINCT doc_id) n_id, round(avg((text IS NULL)::INT),6) null_rate, round(count(DISTINCT text)::DOUBLE/count(*),6) distinct_rate, median(n_chars) med, quantile_disc(n_chars,0.95)::BIGINT q95, min(n_chars) lo, max(n_chars) hi FROM documents GROUP BY 1")
@@ -125,7 +129,14 @@ def translit_align(spark, sf_dir):
     return transliterate.align(scored(spark, sf_dir).select(F.col("nc").alias("a"), F.col("s1_nc").alias("b")), 2, 0.3)
 
 
-@query()
+_FILL = _ALIGN + f""", refs AS (SELECT eng, count(*) n FROM (SELECT unnest(string_split(nc,' ')) eng FROM recs WHERE src='S1') GROUP BY 1 HAVING count(*)>=2 AND regexp_full_match(eng,'[a-z]{{3,}}')),
+best AS (SELECT sk, eng FROM (SELECT eng, n, {SKELETON_WORD.replace('(x', '(eng')} sk FROM refs) QUALIFY row_number() OVER (PARTITION BY sk ORDER BY n DESC, eng)=1),
+new AS (SELECT DISTINCT tok FROM (SELECT unnest(string_split(nc,' ')) tok FROM recs WHERE src<>'S1') WHERE tok<>'' AND tok NOT IN (SELECT tok FROM al)),
+fill AS (SELECT tok, eng FROM (SELECT tok, {SKELETON_WORD.replace('(x', '(tok')} sk FROM new) JOIN best USING(sk) WHERE length(sk)>=3 AND tok<>eng)
+SELECT tok, eng, 1 layer FROM al UNION ALL SELECT tok, eng, 2 FROM fill"""
+
+
+@query(_FILL)
 def translit_skeleton_fill(spark, sf_dir):
     s, r = sides(spark, sf_dir)
     known = transliterate.align(scored(spark, sf_dir).select(F.col("nc").alias("a"), F.col("s1_nc").alias("b")), 2, 0.3)
@@ -154,7 +165,7 @@ def cascade_prefilter(spark, sf_dir):
 
 @query("SELECT doc_id, replace(replace(coalesce(text,''), chr(10), ' '), chr(13), ' ') t FROM documents WHERE text IS NOT NULL AND text<>''")
 def tsv_roundtrip(spark, sf_dir):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/tsv-{uuid.uuid4().hex}"
+    path = f"{IO.shared_dir(spark)}/tsv-{uuid.uuid4().hex}"
     d = table(spark, sf_dir, "documents").filter("text is not null and text <> ''").select("doc_id", F.translate("text", "\n\r", "  ").alias("t"))
     IO.write_tsv(d, path)
     return IO.read_tsv(spark, path, "doc_id bigint, t string")
@@ -220,9 +231,13 @@ def repeated_adjacent_token(spark, sf_dir):
     return records(spark, sf_dir).select("entity_id", F.exists(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, 1 << 20), lambda a, b: a.eqNullSafe(b)), lambda x: x).alias("repeats"))
 
 
-@query("SELECT lang, (sum(n_chars) FILTER (source='src0'))::BIGINT src0, (sum(n_chars) FILTER (source='src1'))::BIGINT src1 FROM documents GROUP BY 1")
+_SOURCES = [f"src{k}" for k in range(20)]
+
+
+@query("SELECT lang, " + ", ".join(f"(sum(n_chars) FILTER (source='{x}'))::BIGINT {x}" for x in _SOURCES) + " FROM documents GROUP BY 1")
 def pivot_sources(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source", ["src0", "src1"]).agg(F.sum("n_chars"))
+    """A column for each source; naming them spares a pass that would find them."""
+    return table(spark, sf_dir, "documents").groupBy("lang").pivot("source", _SOURCES).agg(F.sum("n_chars"))
 
 
 @query("SELECT arg_max(t, f) best_t, max(f) best_f FROM (SELECT discount t, round(avg(l_extendedprice),4) f FROM (SELECT l_discount discount, l_extendedprice FROM lineitem) GROUP BY 1)")

@@ -1,51 +1,40 @@
 """The engine's views of the driver's tables: documents as records of entities, and the same in SQL.
 
 A record's country is the document's language, its source S1, S2 or S3 by id, its name the first six words of the
-normalised text and its address the next 18, or in the queries made by whole() all the rest.
+normalised text and its address all the rest. num are the address's numbers in order, nset the same sorted.
+
+Texts are normalised once for each application and version of the table; the records, and the scored pairs that many
+queries start from, are stage tables in the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions import text as T
 from lakeweave.operators import retrieval
+from lakeweave.sources import tables as IO
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_WHOLE = ContextVar("whole", default=False)
-
-
-def whole(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query over records whose address is all words after the name."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        token = _WHOLE.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _WHOLE.reset(token)
-
-    return run
-
-
-def whole_sql(sql: str) -> str:
-    return sql.replace("w[7:24]", "w[7:]")
+def _derived(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    return IO.derived(spark, f"{sf_dir}/documents.parquet", name, make)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(T.basic(F.col("text")), " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), words.alias("w"))
-    part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
-    rows = d.select(F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), F.col("doc_id")).alias("entity_id"), "country", F.concat(F.lit("S"), F.col("doc_id") % 3 + 1).alias("src"), part(1, 6).alias("nb"), part(7, F.size("w") if _WHOLE.get() else 18).alias("ab"))
-    return rows.withColumns({"nc": T.name_core(F.col("nb")), "num": F.array_join(T.numbers(F.col("ab")), " ")})
+    def make() -> DataFrame:
+        d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("country"), F.split(T.basic(F.col("text")), " ").alias("w"))
+        part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+        src = F.concat(F.lit("S"), F.col("doc_id") % 3 + 1)
+        rows = d.select(F.concat(src, F.lit("-"), F.col("doc_id")).alias("entity_id"), "country", src.alias("src"), part(1, 6).alias("nb"), part(7, F.size("w")).alias("ab"))
+        rows = rows.withColumns({"nc": T.name_core(F.col("nb")), "numbers": T.numbers(F.col("ab"))})
+        return rows.withColumns({"num": F.array_join("numbers", " "), "nset": F.array_join(F.array_sort("numbers"), " "), "ab_digest": F.sha2("ab", 256)}).drop("numbers")
+
+    return _derived(spark, sf_dir, "records", make)
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -58,12 +47,18 @@ def words(df: DataFrame) -> DataFrame:
     return retrieval.features(df, T.tokens(F.concat_ws(" ", "nc", "ab")))
 
 
-def scored(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """Candidate pairs with their score as the probability, and the records' own columns."""
-    s, r = sides(spark, sf_dir)
-    c = retrieval.retrieve(words(r), words(s), k, 200, 5)
-    c = c.join(r.select(F.col("entity_id").alias("rid"), "nc", "nb", "ab", "num"), "rid")
-    return c.join(s.select(F.col("entity_id").alias("s1"), F.col("nc").alias("s1_nc"), F.col("nb").alias("s1_nb"), F.col("ab").alias("s1_ab"), F.col("num").alias("s1_num")), "s1").withColumn("prob", F.col("score"))
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs (5 for a query, of tokens in at most 200 references) with their score as the probability, and the
+    records' own columns; an address goes by its digest."""
+
+    def make() -> DataFrame:
+        s, r = sides(spark, sf_dir)
+        own = ("nc", "nb", "ab_digest", "num", "nset")
+        c = retrieval.retrieve(words(r), words(s), 5, 200, 5)
+        c = c.join(r.select(F.col("entity_id").alias("rid"), *own, (F.col("ab") == "").alias("noaddr")), "rid")
+        return c.join(s.select(F.col("entity_id").alias("s1"), *(F.col(x).alias(f"s1_{x}") for x in own)), "s1").withColumn("prob", F.col("score"))
+
+    return _derived(spark, sf_dir, "scored", make)
 
 
 BASIC = r"trim(regexp_replace(regexp_replace(replace(lower(replace(replace(replace(strip_accents(coalesce(text,'')),'ß','ss'),'œ','oe'),'æ','ae')),'&',' and '),'[^a-z0-9 ]',' ','g'),'\s+',' ','g'))"
@@ -71,8 +66,8 @@ CORE = rf"trim(regexp_replace(regexp_replace(%s,'\b({T.LEGAL})\b',' ','g'),'\s+'
 RECORDS = f"""
 d AS (SELECT doc_id, lang country, string_split({BASIC}, ' ') w FROM documents),
 r0 AS (SELECT 'S'||(doc_id%3+1)||'-'||doc_id entity_id, country, 'S'||(doc_id%3+1) src,
-  array_to_string(w[1:6],' ') nb, array_to_string(w[7:24],' ') ab FROM d),
-recs AS (SELECT *, {CORE % "nb"} nc, array_to_string(regexp_extract_all(ab,'\\b\\d+\\b'),' ') num FROM r0),
+  array_to_string(w[1:6],' ') nb, array_to_string(w[7:],' ') ab FROM d),
+recs AS (SELECT *, {CORE % "nb"} nc, array_to_string(regexp_extract_all(ab,'\\b\\d+\\b'),' ') num, array_to_string(list_sort(regexp_extract_all(ab,'\\b\\d+\\b')),' ') nset FROM r0),
 toks AS (SELECT country, entity_id, src, unnest(list_distinct(list_filter(string_split(nc||' '||ab,' '), lambda x: length(x)>=2))) tok FROM recs)"""
 
 
@@ -87,10 +82,10 @@ norms AS (SELECT st.entity_id s1, CASE WHEN sum(idf*idf)=0 THEN 1 ELSE sqrt(sum(
 q0 AS (SELECT qt.country, qt.tok, qt.entity_id rid, df, idf*idf w, sqrt(sum(idf*idf) OVER (PARTITION BY qt.entity_id)) qnorm, row_number() OVER (PARTITION BY qt.entity_id ORDER BY df, qt.tok) r FROM qt JOIN stats USING(country,tok)),
 q AS (SELECT * FROM q0 WHERE {keep}),
 h AS (SELECT q.country, q.rid, st.entity_id s1, sum(q.w) w, max(qnorm) qnorm FROM q JOIN st USING(country,tok) GROUP BY 1,2,3),
-sc AS (SELECT country, rid, s1, round(w/(qnorm*norm),6) score FROM h JOIN norms USING(s1)),
+sc AS (SELECT country, rid, s1, round(w/(qnorm*norm),9) score FROM h JOIN norms USING(s1)),
 ranked AS (SELECT country, rid, s1, score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, s1) rank FROM sc),
-cands AS (SELECT * FROM ranked WHERE rank<={k})"""
+cands AS (SELECT country, rid, s1, round(score,6) score, rank FROM ranked WHERE rank<={k})"""
 
 
 SCORED = retrieve_sql(5, 200, 5) + """,
-scored AS (SELECT c.*, c.score prob, r.nc, r.nb, r.ab, r.num, s.nc s1_nc, s.nb s1_nb, s.ab s1_ab, s.num s1_num FROM cands c JOIN recs r ON r.entity_id=c.rid JOIN recs s ON s.entity_id=c.s1)"""
+scored AS (SELECT c.*, c.score prob, r.nc, r.nb, r.ab, r.num, r.nset, s.nc s1_nc, s.nb s1_nb, s.ab s1_ab, s.num s1_num, s.nset s1_nset FROM cands c JOIN recs r ON r.entity_id=c.rid JOIN recs s ON s.entity_id=c.s1)"""

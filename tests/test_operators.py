@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from lakeweave.functions import text as T
-from lakeweave.operators import blocking, decide, features, model, retrieval, synthesize
+from lakeweave.operators import blocking, decide, features, model, retrieval, synthesize, transliterate
 from lakeweave.sources import tables as IO
 from lakeweave.streaming.incremental import retrieve_new
 
@@ -37,9 +37,115 @@ def test_number_relations(spark):
     assert got == list(cases.values())
 
 
+def test_number_relations_of_long_and_repeated_numbers(spark):
+    long = "123456789012345678901234"
+    cases = {("5 5", "5"): (0, 0, 0, 0, 0, None, 1, 1), (long, long): (0, 0, 0, 0, 0, None, 1, 1), (long, "7"): (0, 0, 1, 0, 1, 123456789012338, 0, 0), ("12", "123456789012345"): (1, 0, 0, 0, 1, None, 0, 0), ("7", "07"): (0, 0, 0, 0, 0, None, 1, 1)}
+    df = spark.createDataFrame([(a.split(), b.split()) for a, b in cases], "q array<string>, d array<string>")
+    assert [tuple(r) for r in df.select(*features.number_relations(F.col("q"), F.col("d")).values()).collect()] == list(cases.values())
+
+
 def test_log_odds(spark):
-    pairs = spark.createDataFrame([(["x"], 0)] * 10, "t array<string>, y int")
-    assert features.log_odds(pairs, "t", "y", 0.5).first()["lo"] == -0.693147
+    pairs = spark.createDataFrame([("r", str(k), ["x"], ["m"] if k < 2 else [], 0) for k in range(10)] + [("r", str(10 + k), [], [], 1) for k in range(10)], "rid string, s1 string, extra array<string>, miss array<string>, y int")
+    table = features.log_odds(pairs)  # the prior is 0.5
+    assert {r.tok: (r.lo_extra, r.n_extra, r.lo_miss, r.n_miss) for r in table.collect()} == {"x": (-0.693147, 10, None, None), "m": (None, None, -0.182322, 2)}
+    got = {r.s1: tuple(r)[2:] for r in features.log_odds_features(pairs, table).collect()}
+    assert got["0"] == (-0.693147, -0.693147, 1, -0.182322, -0.182322, 1) and got["5"] == (-0.693147, -0.693147, 1, None, None, None) and got["15"] == (None,) * 6
+    assert [r.tok for r in features.least_match_like(table, "extra", 5).collect()] == ["x"]
+
+
+def test_overlap_of_an_empty_side(spark):
+    r = spark.createDataFrame([("q1", "US", "alpha road"), ("q2", "US", "")], "entity_id string, country string, nc string")
+    s = spark.createDataFrame([("d1", "US", "alpha lane"), ("d2", "US", "beta lane")], "entity_id string, country string, nc string")
+    t = T.tokens(F.col("nc"))
+    pairs = spark.createDataFrame([("q1", "d1"), ("q1", "d2"), ("q2", "d1")], "rid string, s1 string")
+    got = {(x.rid, x.s1): tuple(x)[2:] for x in features.overlap(pairs, features.weighted(r, t, s, t), features.weighted(s, t, s, t), "nw", True).collect()}
+    alpha, road = math.log(3 / 2) ** 2, math.log(3) ** 2
+    assert got["q1", "d1"] == (round(alpha / (alpha + road), 6), 1.0, round(alpha / math.sqrt((alpha + road) * alpha), 6), 1, 1, 1, 2)  # lane is in both: weight 0
+    assert got["q1", "d2"] == (0.0, 0.0, 0.0, 0, 2, 2, 2)
+    assert got["q2", "d1"] == (None, 0.0, None, 0, 0, 2, 0)
+
+
+def test_groups_and_rivals(spark):
+    rows = [("q1", "d", 1, "163", "acme", "159", "acme"), ("q2", "d", 1, "163", "acme x", "159", "acme"), ("q3", "d", 1, "159", "acme", "159", "acme"), ("q4", "d", 2, "", "acme", "159", "acme"), ("q4", "e", 1, "", "acme", "", "other")]
+    df = spark.createDataFrame(rows, "rid string, s1 string, rank int, nset string, nc string, s1_nset string, s1_nc string")
+    got = {(r.rid, r.s1): (r.g_n, r.g_num_twin, r.g_num_s1, r.g_nc_twin, r.g_nc_s1, r.q_num_eq_s1, r.g_rival, r.g_num_twin_frac, r.g_num_s1_frac) for r in features.group_features(df).collect()}
+    assert got["q1", "d"] == (2, 1, 1, 1, 1, 0, 1, 0.333333, 0.333333)
+    assert got["q3", "d"] == (2, 0, 0, 1, 1, 1, 0, 0.0, 0.0)
+    assert got["q4", "d"] == (3, None, 1, 2, 2, None, 0, None, 0.25)
+    assert got["q4", "e"] == (0, None, None, 0, 0, None, 0, None, None)
+
+
+def test_cluster_rules(spark):
+    rows = [
+        ("a", "d", 0.97, 0.0, "159", "159", "US"), ("b", "d", 0.4, 0.0, "159", "159", "US"),  # boost b
+        ("c", "e", 0.9, 0.0, "163", "159", "US"), ("x", "e", 0.01, 0.0, "163", "159", "US"),  # kill c
+        ("f", "g", 0.9, 0.35, "", "", "France"),  # ambiguous there
+        ("h", "i", 0.97, 0.0, "", "", "US"), ("j", "i", 0.4, 0.0, None, None, "US"),  # no numbers agree with nothing
+    ]
+    best = spark.createDataFrame(rows, "rid string, s1 string, p double, p2 double, num string, s1_num string, country string")
+    got = {r.rid: (r.kill, r.ambig, r.boost, r.selected) for r in decide.decide(best, 0.5, decide.RULES["cluster_mod"], ("France",)).collect()}
+    assert got == {"a": (False, False, False, True), "b": (False, False, True, True), "c": (True, False, False, False), "x": (True, False, False, False), "f": (False, True, False, False), "h": (False, False, False, True), "j": (False, False, False, False)}
+    assert decide.RULES["cluster_bold"] == {"lo": 0.2, "add_hi": 0.9, "add_min": 0.2, "amb": 0.1}
+
+
+def test_decoy_records(spark):
+    refs = spark.createDataFrame([(f"S1-{k}", "US", "acme tools", f"{k % 7 + 150} maple 5 road") for k in range(0, 400, 2)], "entity_id string, country string, nc string, ab string")
+    recs = spark.createDataFrame([(f"S{2 + j % 2}-{k * 10 + j}", "US", f"S{2 + j % 2}", "acme tools llc", "acme tools", f"{k % 7 + 150} maple 5 road" if j else "maple road") for k in range(0, 400, 2) for j in range(3)], "entity_id string, country string, src string, nb string, nc string, ab string")
+    truth = recs.select(F.concat(F.lit("S1-"), F.floor(F.regexp_extract("entity_id", r"(\d+)$", 1).cast("int") / 10)).alias("s1"), F.col("entity_id").alias("rid"))
+    out = synthesize.decoy_records(refs, recs, truth).collect()
+    assert out and len({r.entity_id for r in out}) == len(out)
+    parents = {}
+    for r in out:
+        number, fold = int(r.entity_id[3:]), int(r.parent_s1[3:]) % 40
+        assert number % 40 == fold < 6 and number > 9e9 and r.src in ("s2syn", "s3syn")
+        assert r.old != r.new and len(r.old) == 3 and r.ab == f"{r.new} maple 5 road"
+        assert r.kind != "num" or r.nb == "acme tools llc"
+        parents.setdefault(r.parent_s1, set()).add((r.new, r.kind))
+    assert all(len(x) == 1 for x in parents.values())  # one change for all of a cluster
+
+
+def test_learned_names(spark):
+    names = spark.createDataFrame([("a", "Acme T00LS"), ("b", "\u092e\u0939\u093e\u0930\u093e\u0937\u094d\u091f\u094d\u0930 Tools"), ("c", None), ("d", "Café Éclair")], "k string, raw string")
+    folded = T.basic(T.fold(F.col("raw")), folded=True)
+    word = names.filter("k = 'b'").select(folded).first()[0].split()[0]
+    known = spark.createDataFrame([(word, "maharashtra"), ("tools", "never")], "tok string, eng string").filter("tok <> 'tools'")
+    assert {r.k: r.nb for r in transliterate.names(names, "raw", "k", known).collect()} == {"a": "acme tools", "b": "maharashtra tools", "c": "", "d": "cafe eclair"}
+
+
+def test_files(spark, tmp_path):
+    def found(text):
+        (tmp_path / "f.tsv").write_text(text)
+        return {r.rule: r.n for r in IO.check_file(spark, f"file://{tmp_path}/f.tsv", ["s1", "ids"]).collect()}
+
+    assert found("s1\tids\na\tb\nc\t\n") == {"header_has_commas": 0, "wrong_header": 0, "row_without_tab": 0}
+    assert found("s1,ids\na\tb\nc\n") == {"header_has_commas": 1, "wrong_header": 1, "row_without_tab": 1}
+    assert found("") == {"header_has_commas": 0, "wrong_header": 1, "row_without_tab": 0}
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    spark.range(2).write.parquet(f"{tmp_path}/b")
+    assert IO.read_many(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).count() == 5
+    IO.write_report(spark.range(3), f"{tmp_path}/report")
+    assert spark.read.csv(f"{tmp_path}/report", header=True).count() == 3
+    assert {r[0]: r[1] for r in IO.describe(spark.range(3)).collect()}["max"] == "2"
+    IO.write_lists(spark.createDataFrame([("a", "x,y"), ("b", "")], "s1 string, ids string"), f"{tmp_path}/lists", 2, "s1")
+    assert sorted(map(tuple, IO.read_tsv(spark, f"{tmp_path}/lists", "s1 string, ids string").collect()), key=str) == [("a", "x,y"), ("b", None)]
+
+
+def test_derived_tables_follow_their_source(spark, tmp_path):
+    path, made = f"file://{tmp_path}/t", []
+    for rows in (3, 3, 5):
+        if rows == 5 or not made:
+            spark.range(rows).coalesce(1).write.mode("overwrite").parquet(path)
+        out = IO.derived(spark, path, "n", lambda: made.append(1) or spark.read.parquet(path).selectExpr("count(*) n"))
+        assert out.first().n == rows
+    assert len(made) == 2
+
+
+def test_candidate_ranks_and_triggers(spark):
+    cols = "entity_id string, country string, nc string, sk string, ab string"
+    s = spark.createDataFrame([("d1", "US", "alpha", "", "main road"), ("d2", "US", "alphas", "", "hill road")], cols)
+    q = spark.createDataFrame([("q1", "US", "alpha", "", "main road"), ("q2", "US", "alphas", "", "")], cols)
+    got = {(r.rid, r.s1): (r.p_rank, r.f_rank) for r in retrieval.candidates(q, s, 2, 2, 0.6, 10, 10).collect()}
+    assert got["q1", "d1"] == (0, 99) and got["q2", "d2"][1] == 0  # without an address the second index serves
 
 
 def test_metric(spark):
@@ -97,13 +203,16 @@ def test_stages_and_partitions(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(f"file://{tmp_path}/p").collect()) == ["b", "c"]
 
 
-def test_model(spark):
+def test_model(spark, tmp_path):
     df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(1.0).alias("b"), (F.col("id") % 7 > 3).cast("int").alias("y"))
     m = model.train(df, ["a", "b"], "y", 3, 3)
     s = model.score(m, df, ["a", "b"])
     assert s.filter((F.col("prob") > 0.5) != (F.col("y") == 1)).count() == 0
     assert model.importance(m, ["a", "b"])[0][0] == "a"
     assert model.cascade(m, m, df, ["a", "b"], ["a", "b"], 0.5).count() == 200
+    model.save(m, f"{tmp_path}/model")
+    again = model.score(model.load(f"{tmp_path}/model"), df, ["a", "b"])
+    assert sorted(map(tuple, again.select("id", "prob").collect())) == sorted(map(tuple, s.select("id", "prob").collect()))
 
 
 def test_stream(spark, tmp_path):
