@@ -18,7 +18,7 @@ from lakeweave.sources import tables as IO
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return IO.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _derived(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:

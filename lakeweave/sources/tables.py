@@ -63,6 +63,13 @@ def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> Data
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table; one whose files cannot be split among all cores (few files, few row groups) is dealt out once, which a
+    table of many files never is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as spark.checkpoint.dir names it; a temporary one only for a session that
     is one process."""
