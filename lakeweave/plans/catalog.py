@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeweave.plans import linkage, reporting
+from lakeweave.plans import linkage, pair_features, reporting
 
-QUERIES: dict = {**linkage.QUERIES, **reporting.QUERIES}
-SQL: dict = {**linkage.SQL, **reporting.SQL}
+QUERIES: dict = {**linkage.QUERIES, **pair_features.QUERIES, **reporting.QUERIES}
+SQL: dict = {**linkage.SQL, **pair_features.SQL, **reporting.SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions import strings as S
 from lakeweave.functions import text as T
 from lakeweave.operators import blocking, decide, features, retrieval, synthesize
+from lakeweave.operators.assemble import ALIAS, DOMAIN
 from lakeweave.plans.views import BASIC, CORE, RECORDS, SCORED, records, retrieve_sql, scored, sides, table, words
 
 QUERIES, SQL = {}, {}
@@ -279,17 +280,19 @@ for _name, _short in {"feat_idf_overlap_words": "nw", "feat_idf_overlap_skeleton
 
 
 _FITS = "({a}.l<{b}.l AND ({b}.v%(10::HUGEINT**{a}.l)::HUGEINT={a}.v OR {b}.v//(10::HUGEINT**greatest({b}.l-{a}.l,0))::HUGEINT={a}.v))"
-_NUMBERS = """WITH t AS (SELECT c_custkey k, [c_custkey::VARCHAR, (c_custkey*7%1000)::VARCHAR, '0'||c_nationkey, CASE WHEN c_custkey%5=0 THEN '123456789012345678901234' WHEN c_custkey%5=1 THEN '12345' END] n FROM customer),
-u AS (SELECT k, CASE WHEN k%17=0 THEN [] ELSE list_filter(n, lambda x: x IS NOT NULL) END n FROM t),
-v AS (SELECT a.k, b.k k2, a.n qs, b.n ds FROM u a JOIN u b ON b.k=a.k+11),
-qe AS (SELECT k, i, substr(qs[i],1,15)::BIGINT v, least(length(qs[i]),15) l FROM (SELECT k, qs, unnest(range(1,len(qs)+1)) i FROM v)),
+#: How the numbers qs and ds (lists of digit strings) of each row of v (k) relate, by the definition.
+NUMBER_CTES = """qe AS (SELECT k, i, substr(qs[i],1,15)::BIGINT v, least(length(qs[i]),15) l FROM (SELECT k, qs, unnest(range(1,len(qs)+1)) i FROM v)),
 de AS (SELECT k, i, substr(ds[i],1,15)::BIGINT v, least(length(ds[i]),15) l FROM (SELECT k, ds, unnest(range(1,len(ds)+1)) i FROM v)),
 lq AS (SELECT * FROM qe WHERE NOT EXISTS (FROM de WHERE de.k=qe.k AND de.v=qe.v)), ld AS (SELECT * FROM de WHERE NOT EXISTS (FROM qe WHERE de.k=qe.k AND de.v=qe.v)),
 m AS (SELECT lq.k, lq.i, count(ld.v) free, coalesce(bool_or(FITS_AB OR FITS_BA),false) cut, min(abs(lq.v-ld.v)) diff FROM lq LEFT JOIN ld ON ld.k=lq.k GROUP BY 1,2),
 s AS (SELECT k, count(*) FILTER (free>0 AND cut) tr, count(*) FILTER (free>0 AND NOT cut AND diff<=20) ne, count(*) FILTER (free>0 AND NOT cut AND diff>20) ch, count(*) FILTER (free=0) ad, min(diff) FILTER (free>0 AND NOT cut) md FROM m GROUP BY 1),
-f AS (SELECT v.k, len(qs) nq, len(ds) nd, s.*, (SELECT count(*) FROM ld WHERE ld.k=v.k) mi, (SELECT arg_min(v,i) FROM qe WHERE qe.k=v.k) q1, (SELECT arg_min(v,i) FROM de WHERE de.k=v.k) d1, (SELECT max(v) FROM qe WHERE qe.k=v.k) qm, (SELECT max(v) FROM de WHERE de.k=v.k) dm FROM v LEFT JOIN s ON s.k=v.k)
-SELECT k c_custkey, CASE WHEN nq+nd>0 THEN coalesce(tr,0) END nm_trunc, CASE WHEN nq+nd>0 THEN coalesce(ne,0) END nm_near, CASE WHEN nq+nd>0 THEN coalesce(ch,0) END nm_changed, CASE WHEN nq+nd>0 THEN coalesce(ad,0) END nm_added, CASE WHEN nq+nd>0 THEN mi END nm_miss, md nm_mindiff,
-CASE WHEN nq>0 AND nd>0 THEN (q1=d1)::INT END nm_first_eq, CASE WHEN nq>0 AND nd>0 THEN (qm=dm)::INT END nm_max_eq FROM f""".replace("FITS_AB", _FITS.format(a="lq", b="ld")).replace("FITS_BA", _FITS.format(a="ld", b="lq"))
+f AS (SELECT v.k, len(qs) nq, len(ds) nd, s.*, (SELECT count(*) FROM ld WHERE ld.k=v.k) mi, (SELECT arg_min(v,i) FROM qe WHERE qe.k=v.k) q1, (SELECT arg_min(v,i) FROM de WHERE de.k=v.k) d1, (SELECT max(v) FROM qe WHERE qe.k=v.k) qm, (SELECT max(v) FROM de WHERE de.k=v.k) dm FROM v LEFT JOIN s ON s.k=v.k)""".replace("FITS_AB", _FITS.format(a="lq", b="ld")).replace("FITS_BA", _FITS.format(a="ld", b="lq"))
+NUMBER_COLUMNS = """CASE WHEN nq+nd>0 THEN coalesce(tr,0) END nm_trunc, CASE WHEN nq+nd>0 THEN coalesce(ne,0) END nm_near, CASE WHEN nq+nd>0 THEN coalesce(ch,0) END nm_changed, CASE WHEN nq+nd>0 THEN coalesce(ad,0) END nm_added, CASE WHEN nq+nd>0 THEN mi END nm_miss, md nm_mindiff,
+CASE WHEN nq>0 AND nd>0 THEN (q1=d1)::INT END nm_first_eq, CASE WHEN nq>0 AND nd>0 THEN (qm=dm)::INT END nm_max_eq"""
+_NUMBERS = f"""WITH t AS (SELECT c_custkey k, [c_custkey::VARCHAR, (c_custkey*7%1000)::VARCHAR, '0'||c_nationkey, CASE WHEN c_custkey%5=0 THEN '123456789012345678901234' WHEN c_custkey%5=1 THEN '12345' END] n FROM customer),
+u AS (SELECT k, CASE WHEN k%17=0 THEN [] ELSE list_filter(n, lambda x: x IS NOT NULL) END n FROM t),
+v AS (SELECT a.k, b.k k2, a.n qs, b.n ds FROM u a JOIN u b ON b.k=a.k+11),
+{NUMBER_CTES} SELECT k c_custkey, {NUMBER_COLUMNS} FROM f"""
 
 
 @query(_NUMBERS)
@@ -324,11 +327,6 @@ def feat_jaccard_tokens(spark, sf_dir):
     return scored(spark, sf_dir).select("rid", "s1", F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 6).alias("jac"))
 
 
-# Patterns of a name that is a domain, and of one that gives another name.
-DOMAIN = r"(?i)(\.com|www\.|\.in\b|\.net|\.org|\.fr\b)"
-ALIAS = r"(?i)\b(dba|d/b/a|d\.b\.a|formerly|f/k/a|fka|aka|a/k/a|known as|doing business as)\b"
-
-
 @query("SELECT p.page_id, regexp_matches(url, '(?i)(\\.com|www\\.|\\.in\\b|\\.net|\\.org|\\.fr\\b)') q_domain, regexp_matches(html, '(?i)\\b(dba|d/b/a|d\\.b\\.a|formerly|f/k/a|fka|aka|a/k/a|known as|doing business as)\\b') q_alias, regexp_matches(html, '[^\\x00-\\x7F]') q_nonascii, length(url) q_rawlen FROM pages p")
 def feat_flags(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
@@ -368,12 +366,17 @@ learn AS (SELECT * FROM df0 WHERE rank=1 AND fold>=6), {_SIDE.format(s='extra')}
 _AGG = "{s}_a AS (SELECT rid, s1, min(lo_{s}) te_{s}_min, round(coalesce(sum(lo_{s}),0),6) te_{s}_sum, count(lo_{s}) te_{s}_known FROM (SELECT rid, s1, unnest({s}) tok FROM df0) LEFT JOIN lo USING(tok) GROUP BY 1,2)"
 
 
-def _diffs(spark, sf_dir):
-    """Candidate pairs with the name tokens of one side only, the label and the fold of the true link or else the record."""
+def labelled_diffs(spark, sf_dir, pairs):
+    """Pairs (rid, s1, nc, s1_nc and more) with the name tokens of one side only, the label and the fold of the true link
+    or else the record."""
     one = _truth(spark, sf_dir).groupBy("rid").agg(F.min("s1").alias("true_s1"))
     extra, miss = features.diff_tokens(F.col("nc"), F.col("s1_nc"))
     fold = F.substring(F.coalesce("true_s1", "rid"), 4, 20).cast("bigint") % 40
-    return scored(spark, sf_dir).join(one, "rid", "left").select("rid", "s1", "rank", F.coalesce(F.col("s1") == F.col("true_s1"), F.lit(False)).alias("y"), fold.alias("fold"), extra.alias("extra"), miss.alias("miss"))
+    return pairs.join(one, "rid", "left").withColumns({"y": F.coalesce(F.col("s1") == F.col("true_s1"), F.lit(False)), "fold": fold, "extra": extra, "miss": miss})
+
+
+def _diffs(spark, sf_dir):
+    return labelled_diffs(spark, sf_dir, scored(spark, sf_dir)).select("rid", "s1", "rank", "y", "fold", "extra", "miss")
 
 
 def _learn(diffs):

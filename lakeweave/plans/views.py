@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return IO.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def _derived(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+def derived(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return IO.derived(spark, f"{sf_dir}/documents.parquet", name, make)
 
 
@@ -34,7 +34,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rows.withColumns({"nc": T.name_core(F.col("nb")), "numbers": T.numbers(F.col("ab"))})
         return rows.withColumns({"num": F.array_join("numbers", " "), "nset": F.array_join(F.array_sort("numbers"), " "), "ab_digest": F.sha2("ab", 256)}).drop("numbers")
 
-    return _derived(spark, sf_dir, "records", make)
+    return derived(spark, sf_dir, "records", make)
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -58,7 +58,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = c.join(r.select(F.col("entity_id").alias("rid"), *own, (F.col("ab") == "").alias("noaddr")), "rid")
         return c.join(s.select(F.col("entity_id").alias("s1"), *(F.col(x).alias(f"s1_{x}") for x in own)), "s1").withColumn("prob", F.col("score"))
 
-    return _derived(spark, sf_dir, "scored", make)
+    return derived(spark, sf_dir, "scored", make)
 
 
 BASIC = r"trim(regexp_replace(regexp_replace(replace(lower(replace(replace(replace(strip_accents(coalesce(text,'')),'ß','ss'),'œ','oe'),'æ','ae')),'&',' and '),'[^a-z0-9 ]',' ','g'),'\s+',' ','g'))"

@@ -3,7 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from lakeweave.functions import text as T
-from lakeweave.operators import blocking, decide, features, model, retrieval, synthesize, transliterate
+from lakeweave.operators import assemble, blocking, decide, features, model, retrieval, synthesize, transliterate
 from lakeweave.sources import tables as IO
 from lakeweave.streaming.incremental import retrieve_new
 
@@ -65,6 +65,29 @@ def test_overlap_of_an_empty_side(spark):
     assert got["q2", "d1"] == (None, 0.0, None, 0, 0, 2, 0)
 
 
+def test_pair_table(spark):
+    columns = "entity_id string, country string, name string, nb string, nc string, ab string, num string"
+    r = spark.createDataFrame([("S3-1", "US", "Café dba www.alpha.com", "cafe alpha", "cafe alpha", "12 road zsny", "12"), ("S2-2", "US", "Beta", "beta", "beta", "", "")], columns)
+    s = spark.createDataFrame([("S1-7", "US", "Cafe Alpha", "cafe alpha", "cafe alpha", "13 road zsny", "13"), ("S1-8", "US", "Cafealpha", "cafealpha", "cafealpha", "13 road zsny", "13"), ("S1-9", "US", "", "", "", "5 lane zsca", "5")], columns)
+    r, s = (df.withColumns({"sk": T.skeleton(F.col("nb")), "ab_digest": F.sha2("ab", 256)}) for df in (r, s))
+    rows = [("S3-1", "S1-7", 0.9, 0, 0.0, 99), ("S3-1", "S1-8", 0.0, 99, 0.5, 0), ("S3-1", "S1-9", 0.4, 1, 0.0, 99), ("S2-2", "S1-7", 0.2, 0, 0.1, 0)]
+    cands = spark.createDataFrame(rows, "rid string, s1 string, p_score double, p_rank int, f_score double, f_rank int")
+    spaces = {"nw": (lambda: T.tokens(F.col("nc")), True), "sk": (lambda: T.tokens(F.col("sk")), False), "n3": (lambda: T.trigrams(F.col("nc")), False), "aw": (lambda: T.tokens(F.col("ab")), True), "num": (lambda: T.tokens(F.col("num")), True)}
+    odds = cands.select("rid", "s1", *(F.lit(0).alias(f"te_{side}_{x}") for side in ("extra", "miss") for x in ("min", "sum", "known")))
+    table = assemble.pair_table(cands, r, s, spaces, odds)
+    assert len(table.columns) == 2 + 87 and len(set(table.columns)) == 89
+    got = {(x.rid, x.s1): x for x in table.collect()}
+    assert len(got) == 4
+    a, b, c, d = (got[x[0], x[1]] for x in rows)
+    assert (a.q_nonascii, a.q_domain, a.q_alias, a.q_rawlen, a.s_rawlen, a.is_s3) == (1, 1, 1, 22, 10, 1)
+    assert (a.n_eq, a.nns_eq, a.sk_eq, a.state_eq, a.nm_near, a.nm_mindiff) == (1, 1, 1, 1, 1, 1) and (b.n_eq, b.nns_eq, b.state_eq) == (0, 1, 1)
+    assert (a.by_primary, a.by_fallback, b.by_primary, b.by_fallback, d.by_primary, d.by_fallback) == (1, 0, 0, 1, 1, 1)
+    assert (a.s_nc_dup, a.s_ab_dup, c.s_ab_dup) == (1, 2, 1)
+    assert c.state_eq == 0 and d.state_eq is None and d.q_noaddr == 1 and d.aw_cq is None and c.nw_cd is None
+    assert (a.n_ratio, a.n_jw, a.nw_cos, b.nns_ratio, c.n_tsr) == (100.0, 1.0, 1.0, 100.0, 0.0)
+    assert (a.n_cand, a.p_score_rk, c.p_score_rk, b.p_score_rk, c.p_score_gapmax, d.n_cand) == (3, 1, 2, 3, -0.5, 1)
+
+
 def test_groups_and_rivals(spark):
     rows = [("q1", "d", 1, "163", "acme", "159", "acme"), ("q2", "d", 1, "163", "acme x", "159", "acme"), ("q3", "d", 1, "159", "acme", "159", "acme"), ("q4", "d", 2, "", "acme", "159", "acme"), ("q4", "e", 1, "", "acme", "", "other")]
     df = spark.createDataFrame(rows, "rid string, s1 string, rank int, nset string, nc string, s1_nset string, s1_nc string")
