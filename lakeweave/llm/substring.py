@@ -11,9 +11,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeweave.llm.common import WORD, Stages, col, fresh, release, without
@@ -80,9 +81,9 @@ def runs(parts: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
-def _text_key(text: str) -> int:
-    """With the id it tells rows of one id apart."""
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 33
+def _text_key(text: Column) -> Column:
+    """With the id it tells rows of one id apart; null where there is no text."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -96,7 +97,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     spark = docs.sparkSession
     stages = Stages(spark, "substring")
     docs = without(docs, "n_sentences", "n_removed")
-    own = docs.select(col(key).cast("long").alias("k"), col(text).cast("string").alias("t"))
+    own = docs.select(col(key).cast("long").alias("k"), col(text).cast("string").alias("t")).withColumn("x", _text_key(F.col("t")))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "k", "x", "p"]
@@ -104,17 +105,16 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             for start in range(0, batch.num_rows, 200):
                 rows = batch.slice(start, 200)
                 out = []
-                for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                for k, t, x in zip(*(c.to_pylist() for c in rows.columns)):
                     if t:
-                        x = _text_key(t)
                         out += [(h, LAST if k is None else k, x, s << 32 | c) for h, s, c in runs(sentences(t))]
                 columns = list(zip(*out)) if out else [()] * 4
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                kinds = (pa.int64(),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=names)
                 out = columns = None
         release()
 
-    spans = stages.put(own.mapInArrow(find, "h long, k long, x int, p long"))
+    spans = stages.put(own.mapInArrow(find, "h long, k long, x long, p long"))
     # hashes alone go to be counted; a frequent one is summed before it is moved
     repeated = stages.put(spans.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     # both sides are tables, so that a frequent hash's rows may be split among tasks
@@ -126,28 +126,24 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     covered = stages.put(again.groupBy("k", "x").agg(F.collect_set("p").alias("spans")))
     stages.drop(shared, first)
 
-    @F.pandas_udf("int")
-    def text_key(texts):
-        return texts.map(lambda t: _text_key(t) if t else None).astype("Int32")
-
     x, k, y, found, made = fresh(docs, "text_key", "covered_key", "covered_text", "covered_spans", "cut")
-    marked = docs.withColumn(x, text_key(col(text).cast("string")))
+    marked = docs.withColumn(x, _text_key(col(text).cast("string")))
     covered = covered.select(F.col("k").alias(k), F.col("x").alias(y), F.col("spans").alias(found))
     joined = marked.join(covered, (F.col(x) == F.col(y)) & (F.coalesce(col(key).cast("long"), F.lit(LAST)) == F.col(k)), "left")
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
-    def cut(texts, spans_):
-        import pandas as pd
-
-        out = []
-        for t, found_ in zip(texts, spans_):
-            parts = sentences(t) if t else []
-            gone = set()
-            if found_ is not None:
-                for span in map(int, found_):
-                    gone.update(range(span >> 32, (span >> 32) + (span & 0xFFFFFFFF)))
-            out.append(("".join(p for i, p in enumerate(parts) if i not in gone) if t is not None else None, len(parts), len(gone)))
-        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, spans_ in batches:
+            out = []
+            for t, found_ in zip(texts, spans_):
+                parts = sentences(t) if t else []
+                gone = set()
+                if found_ is not None:
+                    for span in map(int, found_):
+                        gone.update(range(span >> 32, (span >> 32) + (span & 0xFFFFFFFF)))
+                out.append(("".join(p for i, p in enumerate(parts) if i not in gone) if t is not None else None, len(parts), len(gone)))
+            yield pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
+        release()
 
     cut_ = joined.withColumn(made, cut(col(text).cast("string"), F.col(found)))
     columns = [F.col(f"{made}.text").alias(c) if c == text else col(c) for c in docs.columns]
