@@ -154,10 +154,12 @@ def tokens(e: Column, least: int = 2) -> Column:
 
 
 def trigrams(e: Column, spaces: bool = False) -> Column:
+    """Distinct runs of three characters; linear in the length, which cutting each run out of the text would not be."""
     e = F.concat(F.lit(" "), e, F.lit(" ")) if spaces else F.replace(e, F.lit(" "), F.lit(""))
-    n = F.char_length(e)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr(e, i, F.lit(3)))
-    return F.when(n >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    n, letters = F.char_length(e), F.split(e, "")
+    from_ = lambda k: F.slice(letters, k, n)
+    grams = F.zip_with(F.zip_with(letters, from_(2), lambda x, y: F.concat(x, y)), from_(3), lambda x, y: F.concat(x, y))
+    return F.when(n >= 3, F.array_distinct(F.slice(grams, 1, F.greatest(n - 2, F.lit(1))))).otherwise(F.array().cast("array<string>"))
 
 
 def numbers(e: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lakeweave.functions import text as T
 from lakeweave.operators import assemble, features, retrieval
 from lakeweave.plans import linkage as L
-from lakeweave.plans.views import RECORDS, derived, sides, table
+from lakeweave.plans.views import RECORDS, SCORED, derived, scored, sides, table
 
 QUERIES, SQL = {}, {}
 
@@ -90,6 +90,44 @@ whole AS (SELECT c.*, a.nonascii q_nonascii, a.domain q_domain, a.alias q_alias,
 SELECT * EXCLUDE ({", ".join(_UNCOUNTED)}), count(*) OVER w n_cand, {", ".join(f"round({x}-max({x}) OVER w,6) {x}_gapmax, rank() OVER (PARTITION BY rid ORDER BY {x} DESC NULLS LAST) {x}_rk" for x in _COMPARED)}
 FROM whole WINDOW w AS (PARTITION BY rid)"""
 
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate pairs with names and addresses: a the reference's, b the record's."""
+    s, r = _sides(spark, sf_dir)
+    of = lambda df, key, p: df.select(F.col("entity_id").alias(key), F.col("name").alias(f"{p}_name"), F.col("nb").alias(f"{p}n"), F.col("nc").alias(f"{p}nc"), F.col("ab").alias(f"{p}a"))
+    return scored(spark, sf_dir).select("rid", "s1").join(of(r, "rid", "b"), "rid").join(of(s, "s1", "a"), "s1")
+
+
+def feat_pair_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike the records of candidate pairs look."""
+    return features.surface(_looks(spark, sf_dir))
+
+
+def feat_pair_surface_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy ratios of the same pairs."""
+    return features.surface_ratios(_looks(spark, sf_dir))
+
+
+_W = "list_distinct(list_filter(string_split({0},' '), lambda w: w<>''))"
+_G = "CASE WHEN length({0})>0 THEN list_distinct(list_transform(range(1,length({0})+1), lambda i: substring(' '||{0}||' ', i::INT, 3))) ELSE [] END"
+_D = "regexp_extract_all({0},'\\d+')"
+
+
+def _shared(form: str, a: str, b: str) -> str:
+    x, y = form.format(a), form.format(b)
+    return f"round(len(list_intersect({x},{y}))::DOUBLE/nullif(len(list_distinct(list_concat({x},{y}))),0),6)"
+
+
+_SURFACE_SQL = f"""{SCORED}, names AS (SELECT 'S'||(doc_id%3+1)||'-'||doc_id entity_id, array_to_string(string_split(coalesce(text,''),' ')[1:6],' ') AS name FROM documents),
+p AS (SELECT c.rid, c.s1, x.name a_name, y.name b_name, s1_nb an, nb bn, s1_nc anc, nc bnc, s1_ab aa, ab ba FROM scored c JOIN names x ON x.entity_id=c.s1 JOIN names y ON y.entity_id=c.rid)
+SELECT rid, s1, (a_name=b_name)::INT raw_eq, (lower(a_name)=lower(b_name))::INT fold_eq, (an=bn)::INT norm_eq, (anc=bnc AND anc<>'')::INT core_eq, (list_sort({_W.format('an')})=list_sort({_W.format('bn')}))::INT tokset_eq,
+coalesce({_shared(_W, 'an', 'bn')},0) n_jacc, coalesce({_shared(_W, 'anc', 'bnc')},0) n_core_jacc, coalesce({_shared(_G, 'an', 'bn')},0) n_3g,
+round(1-coalesce(levenshtein(an,bn)::DOUBLE/nullif(greatest(length(an),length(bn)),0),0),6) n_lev, round(CASE WHEN an=bn THEN 1 WHEN an='' OR bn='' THEN 0 ELSE jaro_winkler_similarity(an,bn) END,6) n_jw,
+coalesce({_shared(_W, 'aa', 'ba')},0) a_jacc, coalesce({_shared(_G, 'aa', 'ba')},0) a_3g, {_shared(_D, 'aa', 'ba')} a_num_eq,
+(nullif(regexp_extract(aa,'\\d+'),'')=nullif(regexp_extract(ba,'\\d+'),''))::INT a_first_num_eq, (ba='')::INT b_addr_missing FROM p"""
+
 QUERIES["feat_pair_table"] = feat_pair_table
 QUERIES["feat_pair_table_native"] = feat_pair_table_native
 SQL["feat_pair_table_native"] = _NATIVE_SQL
+QUERIES["feat_pair_surface"] = feat_pair_surface
+QUERIES["feat_pair_surface_ratios"] = feat_pair_surface_ratios
+SQL["feat_pair_surface"] = _SURFACE_SQL
