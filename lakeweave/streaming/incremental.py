@@ -14,10 +14,10 @@ def retrieve_new(spark: SparkSession, folder: str, references: DataFrame, tokens
     Each micro-batch writes its own folder, named by its number, so a batch that is run again replaces itself.
     """
     schema = spark.read.parquet(folder).schema
-    index = retrieval.features(references, tokens)
+    index = retrieval.bags(references, tokens)
 
     def batch(records: DataFrame, number: int) -> None:
-        retrieval.retrieve(retrieval.features(records, tokens), index, k, max_df, min_keep).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        retrieval.retrieve(retrieval.bags(records, tokens), index, k, max_df, min_keep).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(folder)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

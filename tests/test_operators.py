@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeweave.functions import text as T
@@ -245,3 +246,47 @@ def test_stream(spark, tmp_path):
         records(spark, [(name[0], "US", name)]).write.mode("append").parquet(folder)
         retrieve_new(spark, folder, s, T.tokens(F.col("nc")), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert {(r.rid, r.s1) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", "d1"), ("b", "d2")}
+
+
+def _scores(queries, index, k, max_df, min_keep):
+    """Of each query the k best references by the definition; rows are (id, tokens)."""
+    n, df = len(index), {}
+    for _, toks in index:
+        for t in toks:
+            df[t] = df.get(t, 0) + 1
+    w = {t: math.log((n + 1) / d) ** 2 for t, d in df.items()}
+    out = set()
+    for rid, toks in queries:
+        known = sorted((df[t], t) for t in toks if t in df)
+        kept = {t for i, (d, t) in enumerate(known) if max_df is None or d <= max_df or i < min_keep}
+        qnorm = math.sqrt(sum(w[t] for _, t in known))
+        hits = [(-round(sum(w[t] for t in kept & set(d)) / (qnorm * math.sqrt(sum(w[t] for t in d))), 9), s1) for s1, d in index if kept & set(d)]
+        out |= {(rid, s1, i + 1, round(-score, 6)) for i, (score, s1) in enumerate(sorted(hits)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("max_df, min_keep", [(None, 0), (6, 2)])
+def test_retrieval_in_blocks(spark, monkeypatch, max_df, min_keep):
+    """Several blocks, groups of copies over their borders, frequent and rare tokens, two countries, ids that stand twice."""
+    from lakeweave.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    rows = lambda p, m: [(f"{p}{i:03}", [f"w{i % 7}", "all", *([f"r{i % 23}"] if i % 3 else ["same", f"x{i % 2}"])]) for i in range(m)]
+    s, r = rows("s", 90), rows("r", 40)
+    frame = lambda x: spark.createDataFrame([(c, i, t) for c in ("us", "fr") for i, t in ((f"{c}{i}", t) for i, t in x)], "country string, entity_id string, toks array<string>")
+    want = {(f"{c}{a}", f"{c}{b}", *rest) for a, b, *rest in _scores(r, s, 4, max_df, min_keep) for c in ("us", "fr")}
+    got = retrieval.retrieve(frame(r), frame(s), 4, max_df, min_keep)
+    assert {(x.rid, x.s1, x.rank, round(x.score, 6)) for x in got.collect()} == want
+    assert not any(node in got._jdf.queryExecution().toString() for node in ("Join", "Generate"))  # no row for each hit
+    rows = lambda x: frame(x).select("country", "entity_id", F.explode("toks").alias("tok"))
+    assert {tuple(x) for x in retrieval.retrieve(rows(r), rows(s), 4, max_df, min_keep).collect()} == {tuple(x) for x in got.collect()}
+    halves = frame([(i, t[:1]) for i, t in r] + [(i, t[1:]) for i, t in r])
+    assert {tuple(x) for x in retrieval.retrieve(halves, frame(s), 4, max_df, min_keep).collect()} == {tuple(x) for x in got.collect()}
+    assert not retrieval.retrieve(frame(r), frame([]), 4).collect()
+
+
+def test_best_link_goes_by_rank(spark):
+    """The score has six digits, the rank goes by nine: of equal scores the first by rank is the best, not the first id."""
+    scored = spark.createDataFrame([("r1", "b", 0.5, 1), ("r1", "a", 0.5, 2)], "rid string, s1 string, prob double, rank int")
+    assert [tuple(x) for x in decide.best_with_runner_up(scored).collect()] == [("r1", "b", 0.5, 0.5)]
+    assert [tuple(x) for x in decide.assign(scored, 0.1).collect()] == [("r1", "b", 0.5)]
