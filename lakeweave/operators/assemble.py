@@ -65,7 +65,6 @@ def pair_table(
         alike = alike.select("q_nc", "s_nc", *(F.round(F.col("alike")[c], 6).alias(c) for c in S.SIMILARITIES))
         out = out.join(alike, ["q_nc", "s_nc"]).drop("q_nc", "s_nc")
     for name, (tokens, with_nq) in spaces.items():
-        left, right = (features.weighted(side, tokens(), references, tokens()) for side in (queries, references))
-        out = out.join(features.overlap(pairs, left, right, name, with_nq), ["rid", "s1"])
+        out = out.join(features.overlap_in_blocks(pairs, queries, references, tokens(), name, with_nq), ["rid", "s1"])
     out = out.join(odds, ["rid", "s1"], "left")
     return features.query_context(out, [c for c in CONTEXT if c in out.columns])

@@ -290,3 +290,29 @@ def test_best_link_goes_by_rank(spark):
     scored = spark.createDataFrame([("r1", "b", 0.5, 1), ("r1", "a", 0.5, 2)], "rid string, s1 string, prob double, rank int")
     assert [tuple(x) for x in decide.best_with_runner_up(scored).collect()] == [("r1", "b", 0.5, 0.5)]
     assert [tuple(x) for x in decide.assign(scored, 0.1).collect()] == [("r1", "b", 0.5)]
+
+
+def test_overlap_in_blocks_is_overlap(spark, monkeypatch):
+    """Blocks smaller than a country, tokens that no reference has, records and references without tokens or pairs."""
+    from lakeweave.operators import postings
+
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    s = records(spark, [(f"s{i}", "US" if i % 2 else "FR", "" if i == 7 else f"w{i % 5} all r{i}") for i in range(40)])
+    r = records(spark, [(f"r{i}", "US" if i % 2 else "FR", "" if i == 3 else f"w{i % 5} all own{i} r{i + 2}") for i in range(30)])
+    pairs = spark.createDataFrame([(f"r{i}", f"s{j}") for i in range(30) for j in range(i % 2, 40, 2) if (i * j) % 3], "rid string, s1 string")
+    t = T.tokens(F.col("nc"))
+    want = features.overlap(pairs, features.weighted(r, t, s, t), features.weighted(s, t, s, t), "nw", True)
+    got = features.overlap_in_blocks(pairs, r, s, t, "nw", True)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Generate" not in got._jdf.queryExecution().toString()  # no row for each token of a pair
+
+
+def test_two_empty_names_are_not_alike(spark, monkeypatch):
+    """As in the SQL of the query: its engine gives 0 for two empty strings."""
+    from lakeweave.plans import linkage
+
+    pairs = spark.createDataFrame([("r1", "s1", "", ""), ("r2", "s1", "a", ""), ("r3", "s1", "martha", "marhta")], "rid string, s1 string, nc string, s1_nc string")
+    monkeypatch.setattr(linkage, "scored", lambda *_: pairs)
+    got = {x.rid: x.n_jw for x in linkage.feat_jaro_winkler(spark, "").collect()}
+    assert got == {"r1": 0.0, "r2": 0.0, "r3": 0.961111}
