@@ -99,7 +99,8 @@ def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feat_pair_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How alike the records of candidate pairs look."""
-    return features.surface(_looks(spark, sf_dir))
+    s, r = sides(spark, sf_dir)
+    return features.surface_in_blocks(_looks(spark, sf_dir).drop("aa", "ba"), r, s)
 
 
 def feat_pair_surface_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:

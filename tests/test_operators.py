@@ -316,3 +316,14 @@ def test_two_empty_names_are_not_alike(spark, monkeypatch):
     monkeypatch.setattr(linkage, "scored", lambda *_: pairs)
     got = {x.rid: x.n_jw for x in linkage.feat_jaro_winkler(spark, "").collect()}
     assert got == {"r1": 0.0, "r2": 0.0, "r3": 0.961111}
+
+
+def test_surface_in_blocks_is_surface(spark):
+    """Addresses with numbers and without, and none; no address is dealt out with the pairs."""
+    rows = lambda p, m: spark.createDataFrame([("US", f"{p}{i}", f"acme {i % 4}", ["", "12 oak st 7", "7 elm st", "elm", "a", "12 12 oak"][i % 6]) for i in range(m)], "country string, entity_id string, name string, ab string")
+    s, r = rows("s", 12), rows("r", 9)
+    of = lambda df, key, p: df.select(F.col("entity_id").alias(key), F.col("name").alias(f"{p}_name"), F.col("name").alias(f"{p}n"), F.col("name").alias(f"{p}nc"), F.col("ab").alias(f"{p}a"))
+    pairs = of(r, "rid", "b").crossJoin(of(s, "s1", "a"))
+    want = features.surface(pairs)
+    got = features.surface_in_blocks(pairs.drop("aa", "ba"), r, s)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
