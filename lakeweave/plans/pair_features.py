@@ -105,7 +105,8 @@ def feat_pair_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feat_pair_surface_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy ratios of the same pairs."""
-    return features.surface_ratios(_looks(spark, sf_dir))
+    s, r = sides(spark, sf_dir)
+    return features.surface_ratios_in_blocks(_looks(spark, sf_dir).select("rid", "s1", "an", "bn"), r, s)
 
 
 _W = "list_distinct(list_filter(string_split({0},' '), lambda w: w<>''))"
