@@ -9,21 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.functions import text as T
-from lakeweave.operators import assemble, features, retrieval
+from lakeweave.operators import assemble, features, postings, retrieval
 from lakeweave.plans import linkage as L
-from lakeweave.plans.views import RECORDS, SCORED, derived, scored, sides, table
+from lakeweave.plans.views import RECORDS, SCORED, derived, records, scored, sides, table
 
 QUERIES, SQL = {}, {}
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_id, name): what stands before the sixth space is six pieces; no text is split as a whole."""
+    raw = F.substring_index(F.coalesce("text", F.lit("")), " ", 6)
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), F.col("doc_id")).alias("entity_id"), raw.alias("name"))
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents")
-    raw = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 6), " ")
-    names = d.select(F.concat(F.lit("S"), F.col("doc_id") % 3 + 1, F.lit("-"), F.col("doc_id")).alias("entity_id"), raw.alias("name"))
+    names = _names(spark, sf_dir)
     s, r = (df.withColumn("sk", T.skeleton(F.col("nb"))).join(names, "entity_id") for df in sides(spark, sf_dir))
     return s, r
 
 
+def _own(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What a pair's features need of one record, references and queries, from a stage table: names as written are not joined
+    with addresses, nor in each branch of the plan."""
+
+    def make() -> DataFrame:
+        r = records(spark, sf_dir).withColumn("sk", T.skeleton(F.col("nb")))
+        names = _names(spark, sf_dir).select("entity_id", *assemble.of_name())
+        return r.select("entity_id", "country", "src", *assemble.of_record()).join(names, "entity_id")
+
+    own = derived(spark, sf_dir, "own", make)
+    return own.filter("src = 'S1'"), own.filter("src <> 'S1'")
+
+
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of both indexes, a stage table: every feature starts from it."""
 
@@ -35,13 +52,15 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _table(spark: SparkSession, sf_dir: str, similarities: bool) -> DataFrame:
-    cands, (s, r) = merged(spark, sf_dir), _sides(spark, sf_dir)
-    nc = cands.select("rid", "s1", "p_rank").join(r.select(F.col("entity_id").alias("rid"), "nc"), "rid")
-    nc = nc.join(s.select(F.col("entity_id").alias("s1"), F.col("nc").alias("s1_nc")), "s1")
-    diffs = L.labelled_diffs(spark, sf_dir, nc)
-    odds = features.log_odds_features(diffs, features.log_odds(diffs.filter("p_rank = 0 and fold >= 6")))
-    spaces = {name: (tokens, with_nq) for name, (tokens, _, with_nq) in L.SPACES.items()}
-    return assemble.pair_table(cands, r, s, spaces, odds, similarities)
+    """Written in three steps, so that no plan holds all of it: what the records of a pair say of it, with the name tokens
+    that only one has; the overlaps; the log odds."""
+    cands, (s, r), (s_own, r_own) = merged(spark, sf_dir), sides(spark, sf_dir), _own(spark, sf_dir)
+    pairs = L.labelled_diffs(spark, sf_dir, assemble.joined(cands, r_own, s_own, similarities), "q_nc", "s_nc")
+    pairs = postings.put(pairs.drop("q_nc", "s_nc", "true_s1"), "joined")
+    odds = features.log_odds_looked_up(pairs, postings.put(features.log_odds(pairs.filter("p_rank = 0 and fold >= 6")), "log-odds"))
+    spaces = {name: (tokens(), with_nq) for name, (tokens, _, with_nq) in L.SPACES.items()}
+    overlaps = features.overlaps_in_blocks(cands.select("rid", "s1"), r, s, spaces)
+    return assemble.with_overlaps(pairs.drop("y", "fold", "extra", "miss"), overlaps, odds)
 
 
 def feat_pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
